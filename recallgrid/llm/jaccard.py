@@ -48,7 +48,7 @@ MASK = np.uint64((1 << 48) - 1)
 @dataclass(frozen=True)
 class JaccardParams:
     n: int = 3
-    threshold: float = 0.6
+    threshold: float = 0.55
     group: int = 256
     cell_mb: int = 24
 
