@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from itertools import islice
 
 import numpy as np
 import xxhash
@@ -21,13 +22,14 @@ def words(text) -> list[str]:
 class WordHashes(dict):
     """Memo word -> 64-bit hash that forgets everything beyond ``most`` words."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 500_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
+        if len(self) >= self.most:  # the oldest half goes
+            for w in list(islice(self, self.most // 2)):
+                del self[w]
         self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
 

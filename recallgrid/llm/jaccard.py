@@ -1,7 +1,7 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of word n-grams (64-bit hashes, of which 48 bits are
-compared).  Documents with equal sets form a class and are joined as one.
+Documents are sets of word n-grams (64-bit hashes, of which the bucket and 40
+bits are compared).  Documents with equal sets form a class and are joined as one.
 
 1. Occurrences are exchanged once, packed by token: a token that only one class
    has can't be shared, and a class needs at least ``t * size`` shared tokens to
@@ -40,16 +40,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallgrid.llm._common import WordHashes, ngram_set, written
+from recallgrid.llm._common import WordHashes, mix, ngram_set, written
 
-MASK = np.uint64((1 << 48) - 1)
+LOW = np.uint64((1 << 40) - 1)
 
 
 @dataclass(frozen=True)
 class JaccardParams:
     n: int = 3
     threshold: float = 0.55
-    group: int = 256
+    group: int = 1024
     cell_mb: int = 24
 
 
@@ -59,36 +59,22 @@ def least(size: int, t: float) -> int:
 
 
 def token_sets(texts: list, n: int, memo: WordHashes) -> list[np.ndarray]:
-    return [np.unique(ngram_set(t, n, memo) & MASK) for t in texts]
+    return [ngram_set(t, n, memo) for t in texts]
 
 
 def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def classes(docs: DataFrame, p: JaccardParams, id_col: str, text_col: str) -> DataFrame:
-    """(``doc``, ``th``, ``cls``, ``size``) of every row with an id and words, written to the shared folder."""
+def _pack(t: np.ndarray, width: int = 6) -> bytes:
+    """The low bytes of each number."""
+    return np.ascontiguousarray(t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
-    def run(batches):
-        memo = WordHashes()
-        for b in batches:
-            sets = token_sets(b.column(2).to_pylist(), p.n, memo)
-            some = [i for i, s in enumerate(sets) if len(s)]
-            at = pa.array(some, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array([class_of(sets[i]) for i in some], pa.int64()), pa.array([len(sets[i]) for i in some], pa.int32())], names=["doc", "th", "cls", "size"])
-
-    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    return written(slim.mapInArrow(run, "doc long, th long, cls long, size int"), "classes")
 
-
-def _pack(t: np.ndarray) -> bytes:
-    return np.ascontiguousarray(t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unpack(blobs) -> np.ndarray:
-    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+def _unpack(blobs, width: int = 6) -> np.ndarray:
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
     out = np.zeros((len(raw), 8), np.uint8)
-    out[:, :6] = raw
+    out[:, :width] = raw
     return out.view("<u8").ravel().astype(np.uint64)
 
 
@@ -107,70 +93,117 @@ def _by_bucket(bucket: np.ndarray):
         yield int(b[s]), order[s:e]
 
 
-def occurrences(docs: DataFrame, buckets: int, p: JaccardParams, text_col: str) -> DataFrame:
-    """All (token, class) occurrences, packed by token bucket."""
+def occurrences(docs: DataFrame, buckets: int, p: JaccardParams, id_col: str, text_col: str) -> DataFrame:
+    """One pass over the texts: all (token, class) occurrences, packed by token bucket, and (doc, th, class, size) of every row, packed by class bucket."""
 
     def run(batches):
         memo = WordHashes()
         for b in batches:
             for at in range(0, b.num_rows, 4000):
-                own = {class_of(s): s for s in token_sets(b.column(0).slice(at, 4000).to_pylist(), p.n, memo) if len(s)}
-                if not own:
+                part = b.slice(at, 4000)
+                sets = token_sets(part.column(2).to_pylist(), p.n, memo)
+                some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
+                if not len(some):
                     continue
+                of = np.fromiter((class_of(sets[i]) for i in some.tolist()), np.int64, len(some))
+                size = np.fromiter((len(sets[i]) for i in some.tolist()), np.int32, len(some))
+                doc, th = (part.column(c).to_numpy(zero_copy_only=False)[some].astype(np.int64) for c in (0, 1))
+                rows = [(k, None, None, None, doc[i].tobytes(), th[i].tobytes(), of[i].tobytes(), size[i].tobytes()) for k, i in _by_bucket((of % buckets).astype(np.int32))]
+                own = {int(c): sets[i] for c, i in zip(of, some.tolist())}
                 tok = np.concatenate(list(own.values()))
                 cls = np.repeat(np.fromiter(own, np.int64, len(own)), [len(s) for s in own.values()])
-                parts = [(k, _pack(tok[i]), cls[i].tobytes()) for k, i in _by_bucket((tok % np.uint64(buckets)).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*parts), (pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "tok", "cls"])
+                for k, i in _by_bucket(((tok >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)):
+                    c = cls[i]
+                    begin, end = _cuts(c)
+                    rows.append((k, _pack(tok[i] & LOW, 5), c[begin].tobytes(), (end - begin).astype(np.uint32).tobytes(), None, None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if j else pa.int32()) for j, x in enumerate(zip(*rows))], names=["bucket", "tok", "cls", "runs", "doc", "th", "of", "size"])
+
+    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    return slim.mapInArrow(run, "bucket int, tok binary, cls binary, runs binary, doc binary, th binary, of binary, size binary")
+
 
-    return docs.select(text_col).mapInArrow(run, "bucket int, tok binary, cls binary")
+def _flat(blobs, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), kind)
 
 
 def shared_tokens(found: DataFrame, buckets: int) -> DataFrame:
-    """Occurrences of the tokens that at least two classes have, with the number of those, packed by class bucket."""
+    """Occurrences of the tokens that at least two classes have, packed by class bucket: a token becomes its number in the bucket, its class count a log-scaled byte.  Rows of documents pass through."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        tok, cls = _unpack(group["tok"]), np.frombuffer(b"".join(group["cls"]), np.int64)
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        docs = group[group["doc"].notna()]
+        rows = [(key[0], 0, None, None, None, d, t, o, n) for d, t, o, n in zip(docs["doc"], docs["th"], docs["of"], docs["size"])]
+        group = group[group["tok"].notna()]
+        tok, cls = _unpack(group["tok"], 5), np.repeat(_flat(group["cls"], np.int64), _flat(group["runs"], np.uint32))
         order = np.lexsort((cls, tok))
         tok, cls = tok[order], cls[order]
         new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])]) if len(tok) else np.zeros(0, bool)
         tok, cls = tok[new], cls[new]
         begin, end = _cuts(tok)
-        df = np.repeat(end - begin, end - begin)
-        tok, cls, df = tok[df > 1], cls[df > 1], df[df > 1].astype(np.uint32)
-        rows = [(k, _pack(tok[i]), cls[i].tobytes(), df[i].tobytes()) for k, i in _by_bucket((cls % buckets).astype(np.int32))]
-        return pd.DataFrame(rows, columns=["home", "tok", "cls", "df"])
+        n = end - begin
+        number = np.repeat(np.cumsum(n > 1) - 1, n).astype(np.uint32)
+        level = np.repeat(np.minimum(255, 8 * np.log2(n)), n).astype(np.uint8)
+        some = np.repeat(n > 1, n)
+        number, cls, level = number[some], cls[some], level[some]
+        for k, i in _by_bucket((cls % buckets).astype(np.int32)):
+            i = i[np.argsort(cls[i], kind="stable")]
+            rows.append((k, key[0], number[i].tobytes(), cls[i].tobytes(), level[i].tobytes(), None, None, None, None))
+        return pd.DataFrame(rows, columns=["home", "bucket", "tok", "cls", "level", "doc", "th", "of", "size"])
+
+    return found.groupBy("bucket").applyInPandas(run, "home int, bucket int, tok binary, cls binary, level binary, doc binary, th binary, of binary, size binary")
 
-    return found.groupBy("bucket").applyInPandas(run, "home int, tok binary, cls binary, df binary")
 
+def survivors(shared: DataFrame, p: JaccardParams) -> DataFrame:
+    """Rows (doc, th, cls, size) of all documents, and rows (cls, size, grp, need, tok), without ``doc``, of the classes with enough shared tokens to have a partner.
 
-def survivors(shared: DataFrame, known: DataFrame, p: JaccardParams) -> DataFrame:
-    """Classes with enough shared tokens to have a partner: (cls, size, grp, prefix, tok)."""
+    ``tok`` holds the shared tokens in ascending frequency, ``need`` those that must be shared."""
     t = p.threshold
 
-    def run(key, packed: pd.DataFrame, sizes: pd.DataFrame) -> pd.DataFrame:
-        size = dict(zip(sizes["cls"].tolist(), sizes["size"].tolist()))
-        tok, cls, df = _unpack(packed["tok"]), np.frombuffer(b"".join(packed["cls"]), np.int64), np.frombuffer(b"".join(packed["df"]), np.uint32)
-        order = np.lexsort((tok, df, cls))
-        tok, cls, df = tok[order], cls[order], df[order]
+    def run(packed: pd.DataFrame) -> pd.DataFrame:
+        docs, packed = packed[packed["doc"].notna()], packed[packed["tok"].notna()]
+        doc, th, of, sizes = _flat(docs["doc"], np.int64), _flat(docs["th"], np.int64), _flat(docs["of"], np.int64), _flat(docs["size"], np.int32)
+        out = pd.DataFrame({"doc": pd.array(doc, "Int64"), "th": th, "cls": of, "size": sizes, "grp": 0, "need": 0, "tok": None})
+        size = dict(zip(of.tolist(), sizes.tolist()))
+        tok = np.concatenate([np.uint64(b << 32) + np.frombuffer(x, np.uint32) for b, x in zip(packed["bucket"], packed["tok"])]) if len(packed) else np.zeros(0, np.uint64)
+        cls, level = _flat(packed["cls"], np.int64), _flat(packed["level"], np.uint8)
+        order = np.lexsort((tok, level, cls))
+        tok, cls, level = tok[order], cls[order], level[order]
         rows = []
         for s, e in zip(*_cuts(cls)):
             n = size[int(cls[s])]
             need = least(n, t)
             if e - s < need:
                 continue
-            own, freq = tok[s:e], df[s:e]
-            first = np.argsort(own * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:2]
-            parts = -(-int(freq[first[0]]) // p.group)
-            cut = int(own[first[-1]]) % parts
-            rows.append((int(cls[s]), n, xxhash.xxh3_64_intdigest(b"%d %d" % (own[first[0]], cut)) - (1 << 63), own[: e - s - need + 1].astype(np.int64), _pack(np.sort(own))))
-        return pd.DataFrame(rows, columns=["cls", "size", "grp", "prefix", "tok"])
+            own, freq = tok[s:e], level[s:e]
+            first = np.argsort(mix(own), kind="stable")[:2]
+            parts = math.ceil(2 ** (int(freq[first[0]]) / 8) / p.group)
+            cut = int(mix(own)[first[-1]] % np.uint64(parts))
+            rows.append((None, 0, int(cls[s]), n, xxhash.xxh3_64_intdigest(b"%d %d" % (own[first[0]], cut)) - (1 << 63), need, _pack(own)))
+        more = pd.DataFrame(rows, columns=list(out.columns)).astype({"doc": "Int64"})
+        return pd.concat([out, more]) if len(out) and len(more) else more if len(more) else out
+
+    return shared.groupBy("home").applyInPandas(run, "doc long, th long, cls long, size int, grp long, need int, tok binary")
+
+
+def prefixes(alive: DataFrame) -> DataFrame:
+    """The matrix as far as partners must touch it: (grp, token) of the members' rarest tokens."""
+
+    def run(batches):
+        for b in batches:
+            grp, need = b.column(0).to_pylist(), b.column(1).to_pylist()
+            own: dict[int, list] = {}
+            for g, k, blob in zip(grp, need, b.column(2).to_pylist()):
+                t = _unpack([blob])
+                own.setdefault(g, []).append(t[: len(t) - k + 1])
+            union = {g: np.unique(np.concatenate(x)) for g, x in own.items()}
+            if union:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.fromiter(union, np.int64, len(union)), [len(x) for x in union.values()])), pa.array(np.concatenate(list(union.values())).astype(np.int64))], names=["grp", "token"])
 
-    return shared.groupBy("home").cogroup(known.groupBy("home")).applyInPandas(run, "cls long, size int, grp long, prefix array<long>, tok binary")
+    return alive.select("grp", "need", "tok").mapInArrow(run, "grp long, token long")
 
 
 def candidate_groups(alive: DataFrame) -> DataFrame:
     """Pairs of groups g1 <= g2 that can hold partners."""
-    matrix = alive.select("grp", F.explode("prefix").alias("token")).distinct()
+    matrix = prefixes(alive).distinct()
     rows = matrix.groupBy("token").agg(F.sort_array(F.collect_list("grp")).alias("g")).where(F.size("g") > 1)
     pairs = rows.select(F.posexplode("g").alias("i", "g1"), "g").select("g1", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("g2")).distinct()
     own = alive.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))
@@ -225,12 +258,12 @@ def open_groups(a: tuple, b: tuple | None, t: float) -> list[tuple[int, int, flo
     return [(int(a[0][ia[i]]), int(b[0][ib[j]]), float(over[i, j] / (total[i, j] - over[i, j]))) for i, j in zip(*np.nonzero(hit))]
 
 
-def class_pairs(docs: DataFrame, known: DataFrame, p: JaccardParams, text_col: str) -> DataFrame:
-    """All pairs of classes (``a`` < ``b``, ``jaccard``) of at least the threshold, written to the shared folder."""
+def class_pairs(docs: DataFrame, p: JaccardParams, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """All rows with an id and words (``doc``, ``th``, ``cls``), and all pairs of classes (``a`` < ``b``, ``jaccard``) of at least the threshold, both in the shared folder."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = known.groupBy("cls").agg(F.first("size").alias("size")).withColumn("home", F.pmod("cls", F.lit(buckets)).cast("int"))
-    alive = written(survivors(shared_tokens(occurrences(docs, buckets, p, text_col), buckets), sizes, p), "survivors")
+    both = written(survivors(shared_tokens(occurrences(docs, buckets, p, id_col, text_col), buckets), p), "survivors")
+    known, alive = both.where("doc is not null").select("doc", "th", "cls"), both.where("doc is null").select("cls", "size", "grp", "need", "tok")
     pairs = written(candidate_groups(alive), "groups")
     weight = alive.groupBy("grp").agg(F.sum(F.length("tok")).alias("bytes"))
     sides = pairs.select("g1", "g2", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("grp"))
@@ -244,20 +277,19 @@ def class_pairs(docs: DataFrame, known: DataFrame, p: JaccardParams, text_col: s
             sides = []
             for g in (g1, g2):
                 own = rows[rows["grp"] == g]
-                sides.append((own["cls"].tolist(), own["size"].tolist(), [_unpack([x]) for x in own["tok"]]))
+                sides.append((own["cls"].tolist(), own["size"].tolist(), [np.sort(_unpack([x])) for x in own["tok"]]))
             out += open_groups(sides[0], None if g1 == g2 else sides[1], t)
         return pd.DataFrame([(min(a, b), max(a, b), j) for a, b, j in out], columns=["a", "b", "jaccard"])
 
     cells = sides.withColumn("cell", F.pmod(F.xxhash64("g1", "g2"), F.lit(parts)).cast("int")).join(alive.select("grp", "cls", "size", "tok"), "grp")
-    return written(cells.groupBy("cell").applyInPandas(verify, "a long, b long, jaccard double"), "pairs")
+    return known, written(cells.groupBy("cell").applyInPandas(verify, "a long, b long, jaccard double"), "pairs")
 
 
 def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``doc_ids``, ``jaccard``): a list of all documents with equal sets (1.0), and the smallest ids of two classes whose sets reach the threshold.
 
     All pairs follow: two documents are partners if one list holds both or their classes' smallest ids are listed together."""
-    known = classes(docs, params, id_col, text_col)
-    pairs = class_pairs(docs, known, params, text_col)
+    known, pairs = class_pairs(docs, params, id_col, text_col)
     lists = known.groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("n"), F.sort_array(F.collect_list("doc")).alias("doc_ids"))
     reps = known.groupBy("cls").agg(F.min("doc").alias("rep"))
     near = pairs.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b")
@@ -282,8 +314,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of each connected group of near copies."""
-    known = classes(docs, params, id_col, text_col)
-    roots = components(class_pairs(docs, known, params, text_col))
+    known, pairs = class_pairs(docs, params, id_col, text_col)
+    roots = components(pairs)
     rows = known.groupBy("doc", "th", "cls").agg(F.count("*").alias("n"))
     rooted = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     first = F.row_number().over(Window.partitionBy("root").orderBy("doc", "th"))
