@@ -39,7 +39,7 @@ class ToxicityParams:
     """``max_labelled`` bounds the labelled rows that are fitted (the rows with the
     smallest id hashes); nothing else is sampled."""
 
-    max_labelled: int = 6000
+    max_labelled: int = 4000
     buckets: int = 1 << 18
     dim: int = 4
     min_n: int = 3
@@ -79,6 +79,12 @@ def subwords(words: list[str], p: ToxicityParams) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(ids) % np.uint64(p.buckets)).astype(np.int64)[order], of_all[order]
 
 
+def _in_parts(words: list[str], p: ToxicityParams, size: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """The same a part at a time and in 4-byte numbers: the driver's memory is short."""
+    parts = [(ids.astype(np.int32), (of + at).astype(np.int32)) for at in range(0, len(words), size) for ids, of in [subwords(words[at : at + size], p)]]
+    return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+
 class ToxicityModel:
     """``weight`` is the logit of each bucket: embeddings times the difference of the two softmax columns."""
 
@@ -88,7 +94,7 @@ class ToxicityModel:
     def word_logits(self, words: list[str]) -> np.ndarray:
         if not words:
             return np.zeros(0)
-        ids, of = subwords(words, self.params)
+        ids, of = _in_parts(words, self.params)
         return np.bincount(of, self.weight[ids], len(words)) / np.bincount(of, minlength=len(words))
 
     def scorer(self, most: int = 500_000):
@@ -122,8 +128,7 @@ class ToxicityModel:
 def train(texts: list[str], labels: list[int], params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
     """Joint training of embeddings and softmax by Adam; the threshold comes from a held-out part."""
     p, y = params, np.asarray(labels, np.int64)
-    cut = [sorted(set(WORD.findall(t.lower()))) for t in texts]
-    some = np.asarray([bool(w) for w in cut], bool)
+    some = np.asarray([WORD.search(t) is not None for t in texts], bool)
     if len(set(y[some].tolist())) < 2:
         return ToxicityModel(p, np.zeros(p.buckets, np.float32), -60.0, 0.5)
     rng = np.random.default_rng(p.seed)
@@ -131,8 +136,8 @@ def train(texts: list[str], labels: list[int], params: ToxicityParams = Toxicity
     n_out = int(len(order) * p.holdout)
     held, fit = order[:n_out], order[n_out:]
     vocabulary: dict[str, int] = {}
-    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in cut[i]), np.int64, len(cut[i])) for i in fit]
-    ids, of = subwords(list(vocabulary), p)
+    docs = [np.asarray([vocabulary.setdefault(w, len(vocabulary)) for w in sorted(set(WORD.findall(texts[i].lower())))], np.int32) for i in fit]
+    ids, of = _in_parts(list(vocabulary), p)
     lengths = np.bincount(of, minlength=len(vocabulary)).astype(np.float32)
     # in how many toxic and clean documents each word and bucket stands
     target = y[fit]
@@ -143,6 +148,7 @@ def train(texts: list[str], labels: list[int], params: ToxicityParams = Toxicity
     known = (seen.sum(0) >= p.min_docs)[ids]
     ids, of = ids[known], of[known]
     bucket, ids = np.unique(ids, return_inverse=True)
+    ids = ids.astype(np.int32)
     n = np.array([(target == 0).sum(), (target == 1).sum()], np.float32)
     rate = (seen[:, bucket] + 0.5) / (n[:, None] + 1)
     odds = np.log(rate[1]) - np.log(rate[0])
@@ -181,7 +187,8 @@ def train(texts: list[str], labels: list[int], params: ToxicityParams = Toxicity
     weight = np.zeros(p.buckets, np.float32)
     weight[bucket] = e @ (w[:, 1] - w[:, 0])
     model = ToxicityModel(p, weight, float(b[1] - b[0]), 0.5)
-    model.threshold = choose_threshold(model.scorer()([texts[i] for i in held]), y[held], p.max_false_rejection)
+    score = model.scorer()
+    model.threshold = choose_threshold(np.concatenate([score([texts[i] for i in held[k : k + 200]]) for k in range(0, max(1, len(held)), 200)]), y[held], p.max_false_rejection)
     return model
 
 
