@@ -22,7 +22,7 @@ def words(text) -> list[str]:
 class WordHashes(dict):
     """Memo word -> 64-bit hash that forgets everything beyond ``most`` words."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 

@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import base64
 import heapq
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +40,11 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 class Bpe:
-    """Encoder and decoder of one vocabulary; the memo keeps the last one to two times ``most`` words."""
+    """Encoder and decoder of one vocabulary; the memo keeps up to ``most`` words, as places in one array of ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most: int = 250_000):
-        self.ranks, self.most, self.memo, self.older = ranks, most, {}, {}
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most: int = 300_000):
+        self.ranks, self.most = ranks, most
+        self.forget()
         self.find = regex.compile(pattern).findall
         self.bytes = {i: b for b, i in ranks.items()}
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
@@ -54,14 +54,25 @@ class Bpe:
         self.keys = np.array(sorted(self.pairs), np.int64)
         self.made = np.array([self.pairs[k] for k in self.keys.tolist()], np.int64)
 
+        known = sorted(self.bytes)
+        self.size = np.zeros(self.width, np.int32)
+        self.size[known] = [len(self.bytes[i]) for i in known]
+        self.place = np.zeros(self.width, np.int32)
+        self.place[known] = np.cumsum(self.size[known]) - self.size[known]
+        self.letters = np.frombuffer(b"".join(self.bytes[i] for i in known), np.uint8)
+
+    def forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.flat, self.begin, self.count = (np.zeros(0, np.int32) for _ in range(3))
+
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each two symbols; -1 for none."""
         k = a * self.width + b
         at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
         return np.where(self.keys[at] == k, self.made[at], -1)
 
-    def merge_all(self, raw: list[bytes]) -> list[list[int]]:
-        """The pair occurrence index over many words at once."""
+    def merge_all(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The pair occurrence index over many words at once: all ids, and how many each word has."""
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         sym = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), size)
@@ -112,8 +123,7 @@ class Bpe:
             enter(np.concatenate([left[left >= 0], at[after >= 0]]))
         kept = sym >= 0
         counts = np.bincount(word[kept], minlength=len(raw))
-        ids, ends = sym[kept].tolist(), np.cumsum(counts).tolist()
-        return [ids[e - c : e] for c, e in zip(counts.tolist(), ends)]
+        return sym[kept], counts
 
     def merge_long(self, raw: bytes) -> list[int]:
         """The same for one long word: a heap of (rank, position)."""
@@ -138,39 +148,65 @@ class Bpe:
 
     def learn(self, new: list[str]) -> None:
         """Encodes distinct words together and puts their ids into the memo."""
-        memo, short, raws = self.memo, [], []
+        short, raws, single, singles, long = [], [], [], [], []
         for w in new:
-            if (old := self.older.get(w)) is not None:
-                memo[w] = old
-                continue
             raw = w.encode("utf-8")
             if (known := self.ranks.get(raw)) is not None:
-                memo[w] = [known]
+                single.append(w)
+                singles.append(known)
             elif len(raw) > 1000:
-                memo[w] = self.merge_long(raw)
+                long.append((w, self.merge_long(raw)))
             else:
                 short.append(w)
                 raws.append(raw)
-        if short:
-            memo.update(zip(short, self.merge_all(raws)))
-
-    def encode_batch(self, texts: list) -> list:
-        """Ids of each text; None for None."""
+        flat, count = self.merge_all(raws) if short else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        flat = np.concatenate([flat, np.asarray(singles, np.int64), *(np.asarray(x, np.int64) for _, x in long)]).astype(np.int32)
+        count = np.concatenate([count, np.ones(len(single), np.int64), [len(x) for _, x in long]]).astype(np.int32)
+        self.memo.update(zip([*short, *single, *(w for w, _ in long)], range(len(self.memo), len(self.memo) + len(count))))
+        self.begin = np.concatenate([self.begin, (np.cumsum(count) - count + len(self.flat)).astype(np.int32)])
+        self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
+
+    def encode_flat(self, texts: list) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts, and where each text ends (with a zero before)."""
         pieces = [self.find(t) if t else [] for t in texts]
         if len(self.memo) > self.most:
-            self.memo, self.older = {}, self.memo
+            self.forget()
         new: set = set()
         for p in pieces:
             new.update(p)
         new.difference_update(self.memo)
         self.learn(list(new))
         get = self.memo.__getitem__
-        return [None if t is None else list(chain.from_iterable(map(get, p))) for t, p in zip(texts, pieces)]
+        at = np.fromiter((x for p in pieces for x in map(get, p)), np.int32, sum(map(len, pieces)))
+        ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))])
+        count = self.count[at]
+        total = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        ids = self.flat[_spread(self.begin[at], count)]
+        return ids, total[ends]
+
+    def encode_batch(self, texts: list) -> list:
+        """Ids of each text; None for None."""
+        ids, ends = self.encode_flat(texts)
+        return [None if t is None else ids[s:e].tolist() for t, s, e in zip(texts, ends, ends[1:])]
+
+    def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all texts, and where each text ends (with a zero before)."""
+        size = self.size[ids]
+        total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        return self.letters[_spread(self.place[ids], size)].tobytes(), total[ends]
 
     def decode(self, ids) -> str | None:
         return None if ids is None else b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... for count[0] numbers, then begin[1], ..."""
+    ends = np.cumsum(count, dtype=np.int64)
+    n = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if n < 1 << 31 else np.int64
+    return np.repeat((begin - (ends - count)).astype(kind), count) + np.arange(n, dtype=kind)
+
+
 _MADE: dict = {}
 
 
@@ -181,7 +217,7 @@ def made(path: str) -> Bpe:
 
 
 def _plain(t):
-    return t if t is None else t.encode("utf-8", "replace").decode("utf-8")
+    return t if t is None or t.isascii() else t.encode("utf-8", "replace").decode("utf-8")
 
 
 def encode_documents(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -192,13 +228,14 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc
     def run(batches):
         bpe = made(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2500):
-                part = batch.slice(at, 2500)
+            for at in range(0, batch.num_rows, 1500):
+                part = batch.slice(at, 1500)
                 texts = part.column(1).to_pylist()
-                ids = bpe.encode_batch([_plain(t) for t in texts])
-                same = [bpe.decode(i) == t for i, t in zip(ids, texts)]
-                n = [0 if i is None else len(i) for i in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(n, pa.int32()), pa.array(same, pa.bool_())], names=schema.names)
+                ids, ends = bpe.encode_flat([_plain(t) for t in texts])
+                back, cuts = bpe.decode_flat(ids, ends)
+                same = [t is None or back[s:e] == t.encode("utf-8", "surrogatepass") for t, s, e in zip(texts, cuts.tolist(), cuts[1:].tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(same, pa.bool_())], names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 

@@ -99,8 +99,8 @@ def occurrences(docs: DataFrame, buckets: int, p: JaccardParams, id_col: str, te
     def run(batches):
         memo = WordHashes()
         for b in batches:
-            for at in range(0, b.num_rows, 4000):
-                part = b.slice(at, 4000)
+            for at in range(0, b.num_rows, 2500):
+                part = b.slice(at, 2500)
                 sets = token_sets(part.column(2).to_pylist(), p.n, memo)
                 some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
                 if not len(some):

@@ -97,7 +97,7 @@ class ToxicityModel:
         ids, of = _in_parts(words, self.params)
         return np.bincount(of, self.weight[ids], len(words)) / np.bincount(of, minlength=len(words))
 
-    def scorer(self, most: int = 500_000):
+    def scorer(self, most: int = 120_000):
         """A function texts -> probabilities with a memo of up to twice ``most`` words."""
         memo, older = {}, {}
 
