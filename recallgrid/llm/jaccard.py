@@ -265,23 +265,27 @@ def class_pairs(docs: DataFrame, p: JaccardParams, id_col: str, text_col: str) -
     both = written(survivors(shared_tokens(occurrences(docs, buckets, p, id_col, text_col), buckets), p), "survivors")
     known, alive = both.where("doc is not null").select("doc", "th", "cls"), both.where("doc is null").select("cls", "size", "grp", "need", "tok")
     pairs = written(candidate_groups(alive), "groups")
-    weight = alive.groupBy("grp").agg(F.sum(F.length("tok")).alias("bytes"))
-    sides = pairs.select("g1", "g2", F.explode(F.array_distinct(F.array("g1", "g2"))).alias("grp"))
+    weight = alive.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.length("tok")).alias("bytes"))
+    one, two = (weight.select(F.col("grp").alias(f"g{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
+    # the members of the smaller group travel to the larger one
+    larger = F.when(F.col("n1") > F.col("n2"), F.col("g1")).otherwise(F.col("g2"))
+    sent = pairs.join(one, "g1").join(two, "g2").select(larger.alias("target"), F.when(larger == F.col("g1"), F.col("g2")).otherwise(F.col("g1")).alias("grp"))
+    sides = written(sent.unionByName(sent.select("target", F.col("target").alias("grp"))).distinct(), "cells")
     total = sides.join(weight, "grp").agg(F.sum("bytes")).first()[0] or 0
     parts = max(1, math.ceil(total / (p.cell_mb << 20)))
     t = p.threshold
 
     def verify(cell: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (g1, g2), rows in cell.groupby(["g1", "g2"], sort=False):
-            sides = []
-            for g in (g1, g2):
-                own = rows[rows["grp"] == g]
-                sides.append((own["cls"].tolist(), own["size"].tolist(), [np.sort(_unpack([x])) for x in own["tok"]]))
-            out += open_groups(sides[0], None if g1 == g2 else sides[1], t)
+        for target, rows in cell.groupby("target", sort=False):
+            groups = {g: (own["cls"].tolist(), own["size"].tolist(), [np.sort(_unpack([x])) for x in own["tok"]]) for g, own in rows.groupby("grp", sort=False)}
+            home = groups.pop(target)
+            out += open_groups(home, None, t)
+            for other in groups.values():
+                out += open_groups(other, home, t)
         return pd.DataFrame([(min(a, b), max(a, b), j) for a, b, j in out], columns=["a", "b", "jaccard"])
 
-    cells = sides.withColumn("cell", F.pmod(F.xxhash64("g1", "g2"), F.lit(parts)).cast("int")).join(alive.select("grp", "cls", "size", "tok"), "grp")
+    cells = sides.withColumn("cell", F.pmod(F.xxhash64("target"), F.lit(parts)).cast("int")).join(alive.select("grp", "cls", "size", "tok"), "grp")
     return known, written(cells.groupBy("cell").applyInPandas(verify, "a long, b long, jaccard double"), "pairs")
 
 
