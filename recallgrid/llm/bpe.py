@@ -26,6 +26,7 @@ import heapq
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -42,7 +43,7 @@ def read_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
 class Bpe:
     """Encoder and decoder of one vocabulary; the memo keeps up to ``most`` words, as places in one array of ids."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most: int = 200_000):
         self.ranks, self.most = ranks, most
         self.forget()
         self.find = regex.compile(pattern).findall
@@ -216,6 +217,16 @@ def made(path: str) -> Bpe:
     return _MADE[path]
 
 
+def _slices(batch: pa.RecordBatch, most: int = 2_000_000):
+    """Runs of rows with about that many bytes of text, and at least one row each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _plain(t):
     return t if t is None or t.isascii() else t.encode("utf-8", "replace").decode("utf-8")
 
@@ -228,8 +239,7 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc
     def run(batches):
         bpe = made(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1500):
-                part = batch.slice(at, 1500)
+            for part in _slices(batch):
                 texts = part.column(1).to_pylist()
                 ids, ends = bpe.encode_flat([_plain(t) for t in texts])
                 back, cuts = bpe.decode_flat(ids, ends)
@@ -237,6 +247,8 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(same, pa.bool_())], names=schema.names)
 
+        bpe.forget()
+
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 

@@ -22,8 +22,7 @@ Defined results
   clashing names such as ``toxic`` or ``p_toxic`` in the input do no harm.
 """
 
-from __future__ import annotations
-
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -216,25 +215,15 @@ def fit_model(docs: DataFrame, labels: DataFrame, params: ToxicityParams = Toxic
     return train(rows["text"].tolist(), rows["toxic"].tolist(), params)
 
 
-_SCORERS: dict = {}
-
-
-def _scorer_of(shared):
-    key = id(shared)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = shared.value.scorer(), shared
-    return _SCORERS[key][0]
-
-
 def _udf(spark: SparkSession, model: ToxicityModel):
     shared = spark.sparkContext.broadcast(model)  # buckets x 4 bytes, whatever the input
 
     @F.pandas_udf("double")
-    def p_toxic(texts: pd.Series) -> pd.Series:
-        score = _scorer_of(shared)
-        all_texts = texts.tolist()
-        return pd.Series(np.concatenate([score(all_texts[i : i + 1000]) for i in range(0, max(1, len(all_texts)), 1000)]), dtype="float64")
+    def p_toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = shared.value.scorer()  # its memo ends with the task
+        for texts in batches:
+            texts = texts.tolist()
+            yield pd.Series(np.concatenate([score(texts[i : i + 1000]) for i in range(0, max(1, len(texts)), 1000)]), dtype="float64")
 
     return p_toxic
 
