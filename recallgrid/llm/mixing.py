@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_ROWS = 20_000
+BROADCAST_SOURCES = 100_000
 
 
 @dataclass(frozen=True)
@@ -119,6 +120,7 @@ def _scheduled(docs: DataFrame, params: MixParams, source_col: str, id_col: str,
     total = sum(blocks)
     kind = docs.schema[source_col].dataType.simpleString()
     known = spark.createDataFrame([(s, i, -(-n // BUCKET_ROWS)) for i, (s, n) in enumerate(counts)], f"__s {kind}, __i int, __buckets int")
+    known = F.broadcast(known) if len(counts) <= BROADCAST_SOURCES else known  # else Spark joins by a shuffle
     text = F.col(text_col) if text_col in docs.columns else F.lit(None).cast("string")
     keyed = docs.join(known, F.col(source_col).eqNullSafe(F.col("__s"))).drop("__s").withColumn("__h", F.xxhash64(F.lit(params.seed), F.col(id_col), text))
     keyed = keyed.withColumn("__bucket", F.pmod(F.shiftright("__h", 20), F.col("__buckets")).cast("int")).drop("__buckets")
