@@ -37,9 +37,9 @@ def synonym_edges(spark, d):
     return vectors.knn_join(e, e, 100, least=0.5, exclude_self=True)
 
 
-@query(f"WITH {_VEC} SELECT vec_id, CAST(unnest(generate_series(0, len(v) - 1)) AS INTEGER) AS pos, unnest(list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 5))) AS x FROM v")
+@query(f"WITH {_VEC} SELECT vec_id, CAST(unnest(generate_series(0, len(v) - 1)) AS INTEGER) AS pos, unnest(list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 7))) AS x FROM v")
 def l2_normalize(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(F.transform(vectors.l2_normalised(F.col("embedding")), lambda x: F.round(x, 5))).alias("pos", "x"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(F.transform(vectors.l2_normalised(F.col("embedding")), lambda x: F.round(x, 7))).alias("pos", "x"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), ' ') AS plain, 'chunk-' || md5(text) AS chunk_id FROM documents")
