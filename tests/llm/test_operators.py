@@ -1,6 +1,7 @@
 """The corpus operators on small hand-made tables: nulls, empty and long texts, repeated rows, empty tables, clashing columns."""
 
 import itertools
+import textwrap
 
 import numpy as np
 import pytest
@@ -104,6 +105,34 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(docs, {}).count() == 0
 
 
+def test_licenses_over_several_lines(spark):
+    def wrap(name, lead):
+        return "some code\n\n" + "\n".join(lead + x for x in textwrap.wrap(licenses.NOTICES[name], 60)) + "\n\nmore code"
+
+    texts = ["intro\nAll rights reserved.", "Released under the BSD License.", "Licensed under CC BY 4.0.", "Licensed under the Foo License, Version 2.0.", "Released\nunder a b c d e f g\nthe MIT License."]
+    texts += [wrap(n, lead) for n in licenses.NOTICES for lead in (" * ", "# ", "")]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    of = {i: {(r["template"], r["line_no"]) for r in got if r["doc_id"] == i} for i in range(len(texts))}
+    assert of[0] == {("all-rights-reserved-alone", 1)} and not (of[1] | of[2] | of[3] | of[4])
+    for i, n in enumerate(n for n in licenses.NOTICES for _ in range(3)):
+        assert (n, 2) in of[5 + i]
+
+
+def test_license_runs_equal_brute_force():
+    """Two lines match together just when some run over the line end, of no more words than the reach, does."""
+    r = np.random.default_rng(1)
+    templates, must = {"t": "alpha beta gamma delta epsilon"}, {"t": {"beta"}}
+    x = licenses.TemplateIndex(templates, {}, 0.8, must)
+    for _ in range(3000):
+        w = r.choice(["alpha", "beta", "gamma", "delta", "epsilon", "other"], 14, p=[0.15] * 5 + [0.25]).tolist()
+        cut = int(r.integers(1, 13))
+        enough = lambda b: len(set(b) & x.sets[0]) >= 4 and "beta" in b
+        alone = [enough(w[:cut]), enough(w[cut:])]
+        want = any(alone) or any(enough(w[a : a + 6]) for a in range(len(w)))
+        found = x.scan(" ".join(w[:cut]) + "\n" + " ".join(w[cut:]))
+        assert bool(found) == want and all((i in {f[0] for f in found}) for i in (0, 1) if alone[i])
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(i, f"http://{'free-bets' if i % 4 == 0 else 'site'}{'' if i % 4 == 0 else i % 7}.example.org/a/{i}") for i in range(400)] + [(-1, None), (-2, ""), (-3, "::??//")], "page_id long, url string")
     rows = urls.score_urls(pages, pages.select("url", urls.weak_label(pages["url"]).alias("bad"))).collect()
