@@ -2,7 +2,10 @@
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and
 returns a DataFrame, which is written as Parquet and read again as the next
-one's docs.  All stages but the last return the columns of ``documents``.
+one's docs.  All stages but the last return the columns of ``documents``; mixing
+adds ``mix_order`` and ``mix_phase``, which the last stage puts out with the source:
+a reader that takes the rows by ``mix_order`` has the mixture, and phase 0 is the
+part in which the target weights hold.  No document is dropped for the mixture.
 """
 
 from __future__ import annotations
@@ -29,13 +32,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are put in the order of the mixture; every document stays."""
-    return mixing.mix_documents(docs)
+    """Documents are put in the order of the mixture and carry it; every document stays."""
+    return mixing.mix_documents(docs, order_col="mix_order", phase_col="mix_phase")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document."""
-    return bpe.encode_documents(docs)
+    """Token ids of every document, with its source and place in the mixture."""
+    return bpe.encode_documents(docs, keep=tuple(c for c in ("source", "mix_order", "mix_phase") if c in docs.columns))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_copies", drop_near_copies), ("secrets", mask_secrets), ("mixing", mix_sources), ("bpe", encode)]

@@ -16,7 +16,7 @@ Defined results
 * text of any length is encoded whole; equal texts have equal ids;
 * every byte sequence can be encoded (lone surrogates are replaced by U+FFFD
   before encoding, and ``round_trip`` is then false);
-* an empty table gives an empty result; only id and text are read.
+* an empty table gives an empty result; only id, text and the columns to keep are read.
 """
 
 from __future__ import annotations
@@ -231,10 +231,10 @@ def _plain(t):
     return t if t is None or t.isascii() else t.encode("utf-8", "replace").decode("utf-8")
 
 
-def encode_documents(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ``token_ids``, ``n_tokens``, ``round_trip``): the ids are decoded again and compared with the text."""
+def encode_documents(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, ``token_ids``, ``n_tokens``, ``round_trip``, the columns ``keep``): the ids are decoded again and compared with the text."""
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType())])
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("round_trip", T.BooleanType()), *(T.StructField(c, docs.schema[c].dataType) for c in keep)])
 
     def run(batches):
         bpe = made(path)
@@ -245,11 +245,11 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc
                 back, cuts = bpe.decode_flat(ids, ends)
                 same = [t is None or back[s:e] == t.encode("utf-8", "surrogatepass") for t, s, e in zip(texts, cuts.tolist(), cuts[1:].tolist())]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids, pa.int32()), mask=pa.array([t is None for t in texts], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(same, pa.bool_())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(np.diff(ends).astype(np.int32)), pa.array(same, pa.bool_()), *part.columns[2:]], names=schema.names)
 
         bpe.forget()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:

@@ -154,9 +154,15 @@ def schedule(docs: DataFrame, params: MixParams = MixParams(), source_col: str =
     return df.select(id_col, source_col, F.col("__slot").alias("slot"), F.col("__in").alias("in_block"), F.col("__phase").alias("phase"))
 
 
-def mix_documents(docs: DataFrame, params: MixParams = MixParams(), source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, in the order of the schedule: partitions are consecutive ranges of slots."""
+def mix_documents(docs: DataFrame, params: MixParams = MixParams(), source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, phase_col: str | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, in the order of the schedule: partitions are consecutive ranges of slots.
+
+    Files don't keep that order; ``order_col`` names a column for it (distinct longs, ascending in the order of the
+    schedule), ``phase_col`` one for the phase (0 as long as the target weights hold).
+    """
     df, total = _scheduled(docs, params, source_col, id_col, text_col)
     per = params.slots_per_partition
     placed = df.repartitionById(max(1, -(-total // per)), (F.col("__slot") / per).cast("int"))
-    return placed.sortWithinPartitions("__slot", "__in").select(*docs.columns)
+    more = {order_col: F.col("__slot") * params.block + F.col("__in"), phase_col: F.col("__phase")}
+    more = {name: c for name, c in more.items() if name}
+    return placed.sortWithinPartitions("__slot", "__in").select(*(c for c in docs.columns if c not in more), *(c.alias(name) for name, c in more.items()))

@@ -6,6 +6,7 @@ import textwrap
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from recallgrid.llm import bpe, jaccard, licenses, mixing, quality, secrets, sharding, topk, toxicity, urls
 from recallgrid.llm._common import WordHashes
 
@@ -67,6 +68,22 @@ def test_mixing_is_less_than_one_block_away(docs, empty):
     assert mixing.schedule(empty).count() == 0
 
 
+def test_pipeline_puts_out_the_mixture(spark, tmp_path, monkeypatch):
+    """The order outlives the files between the stages, and without the stage there is none."""
+    rows = [(i, f"word {i}", "en", "big" if i % 4 else "small", 9) for i in range(1200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    stages = [s for s in corpus_pipeline.STAGES if s[0] in ("mixing", "bpe")]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages)
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: r["mix_order"])
+    want = sorted(mixing.schedule(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect(), key=lambda r: (r["slot"], r["in_block"]))
+    assert [(r["source"], r["mix_phase"]) for r in got] == [(r["source"], r["phase"]) for r in want] and {r["doc_id"] for r in got} == set(range(1200))
+    first = [r["source"] for r in got if r["mix_phase"] == 0]
+    assert len({r["mix_order"] for r in got}) == len(got) == 1200 and abs(first.count("small") - len(first) / (1 + 3**0.5)) < 32
+    monkeypatch.setattr(corpus_pipeline, "STAGES", stages[1:])
+    plain = corpus_pipeline.run(spark, str(tmp_path))
+    assert "mix_order" not in plain.columns and plain.count() == 1200
+
+
 def test_sharding_has_exact_sizes(docs, empty, spark, tmp_path):
     docs.write.parquet(str(tmp_path / "d"))
     for df in (docs, spark.read.parquet(str(tmp_path / "d"))):
