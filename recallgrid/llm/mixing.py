@@ -5,16 +5,18 @@ block (from 0) is released at slot floor(k / w) and due at slot ceil((k + 1) / w
 in every slot the released block with the earliest deadline is taken.  At any
 prefix each source is then less than one block away from its share.
 
-Weights are fractions over a fixed period, so the schedule of one period (of a
-size that doesn't grow with the data) gives the slot of every block in closed
-form.  Where a source runs out, the others go on with the same weights relative
-to each other: a new phase.  Every document is scheduled exactly once.
+Weights are exact fractions.  The schedule of one period gives the slot of every
+block in closed form; where a period is longer than the blocks, it is made as far
+as the blocks go, 8 bytes for each block of ``block`` documents.  Where a source
+runs out, the others go on with the same weights relative to each other: a new
+phase.  Every document is scheduled exactly once.
 
 Defined results
 ---------------
 * a null source is a source of its own; a source without a given weight, and all
   if none are given, weighs as its number of documents to the power ``exponent``
-  (given weights are relative to those);
+  (given weights are relative to those); sources of weight 0 come evenly after all
+  others, negative weights are an error;
 * text and its length play no role, null or long texts are scheduled like others;
 * documents of a source are ordered by a hash of the id and text, then the id;
   fully equal rows are interchangeable and all kept;
@@ -26,7 +28,9 @@ Defined results
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -42,13 +46,12 @@ class MixParams:
     weights: dict = field(default_factory=dict)
     exponent: float = 0.5
     block: int = 32
-    period: int = 4096
     seed: int = 3
     slots_per_partition: int = 128
 
 
 def integer_weights(weights: list[float], period: int) -> list[int]:
-    """Whole numbers of at least 1 in the given proportions, that sum to the period (or 4 for each source, if more)."""
+    """Whole numbers of at least 1 in the given proportions, that sum to the period (or 4 for each source, if more): rounded, so the schedule uses :func:`exact_weights`."""
     n = len(weights)
     period = max(period, 4 * n)
     w = np.asarray(weights, float)
@@ -59,39 +62,58 @@ def integer_weights(weights: list[float], period: int) -> list[int]:
     return a.tolist()
 
 
-def one_period(a: list[int]) -> list[np.ndarray]:
-    """Slots of each source in one period of sum(a) slots, earliest deadline first."""
+def exact_weights(weights: list[float]) -> list[int]:
+    """Whole numbers in exactly the given proportions, without a common factor."""
+    exact = [Fraction(w) for w in weights]
+    if any(w < 0 for w in exact):
+        raise ValueError("weights must not be negative")
+    scale = math.lcm(*(w.denominator for w in exact))
+    a = [int(w * scale) for w in exact]
+    common = math.gcd(*a) or 1
+    return [x // common for x in a]
+
+
+def one_period(a: list[int], left: list[int] | None = None) -> list[np.ndarray]:
+    """Slots of each source in one period of sum(a) slots, earliest deadline first; it ends where a source has taken the blocks it has ``left``."""
     length, taken = sum(a), [0] * len(a)
     out: list[list[int]] = [[] for _ in a]
     later = [(0, i) for i in range(len(a))]
     ready: list[tuple[int, int]] = []
     heapq.heapify(later)
-    for t in range(length):
+    for t in range(length if left is None else min(length, sum(left))):
         while later and later[0][0] <= t:
             _, i = heapq.heappop(later)
             heapq.heappush(ready, (-(-(taken[i] + 1) * length // a[i]), i))
         _, i = heapq.heappop(ready)
         out[i].append(t)
         taken[i] += 1
+        if left is not None and taken[i] == left[i]:
+            break
         if taken[i] < a[i]:
             heapq.heappush(later, (taken[i] * length // a[i], i))
     return [np.asarray(x, np.int64) for x in out]
 
 
 def phases(a: list[int], blocks: list[int]) -> list[dict]:
-    """The schedule until all blocks are taken: for each phase its first slot and, for each active source, (weight, slots in a period, blocks taken before)."""
+    """The schedule until all blocks are taken: for each phase its first slot, the slots in a period and, for each active source, (its blocks in a period, their slots, blocks taken before)."""
     taken, start, out = [0] * len(a), 0, []
     while True:
         active = [i for i in range(len(a)) if taken[i] < blocks[i]]
         if not active:
             return out
-        length = sum(a[i] for i in active)
-        slots = dict(zip(active, one_period([a[i] for i in active])))
+        active = [i for i in active if a[i]] or active
+        common = math.gcd(*(a[i] for i in active))
+        w = {i: a[i] // common if common else 1 for i in active}
         left = {i: blocks[i] - taken[i] for i in active}
-        end = min((left[i] - 1) // a[i] * length + int(slots[i][(left[i] - 1) % a[i]]) + 1 for i in active)
-        out.append({"start": start, "length": length, "of": {i: (a[i], slots[i], taken[i]) for i in active}})
+        slots = dict(zip(active, one_period(list(w.values()), list(left.values()))))
+        length = sum(map(len, slots.values()))
+        if length < sum(w.values()):  # a source runs out within the first period
+            w, end = {i: len(slots[i]) for i in active}, length
+        else:
+            end = min((left[i] - 1) // w[i] * length + int(slots[i][(left[i] - 1) % w[i]]) + 1 for i in active)
+        out.append({"start": start, "length": length, "of": {i: (w[i], slots[i], taken[i]) for i in active if w[i]}})
         for i in active:
-            taken[i] += end // length * a[i] + int(np.searchsorted(slots[i], end % length))
+            taken[i] += end // length * w[i] + int(np.searchsorted(slots[i], end % length))
         start += end
 
 
@@ -114,7 +136,7 @@ def _scheduled(docs: DataFrame, params: MixParams, source_col: str, id_col: str,
     counts = docs.groupBy(source_col).agg(F.count("*").alias("n")).collect()  # a row a source
     counts = sorted(((r[0], r["n"]) for r in counts), key=lambda r: (r[0] is None, str(r[0])))
     given = {k: float(v) for k, v in params.weights.items()}
-    a = integer_weights([given.get(s, n**params.exponent) for s, n in counts], params.period) if counts else []
+    a = exact_weights([given.get(s, n**params.exponent) for s, n in counts]) if counts else []
     blocks = [-(-n // params.block) for _, n in counts]
     plan = phases(a, blocks)
     total = sum(blocks)

@@ -68,6 +68,24 @@ def test_mixing_is_less_than_one_block_away(docs, empty):
     assert mixing.schedule(empty).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 20, 200, 600])
+def test_mixing_holds_the_weights_asked_for(n):
+    weights = [0.4] + [0.6 / (n - 1) * (0.5 + i / n) for i in range(n - 1)] if n > 1 else [0.7]
+    blocks = [40_000] + [100 + i for i in range(n - 1)]
+    plan = mixing.phases(mixing.exact_weights(weights), blocks)
+    slots = [mixing.slots_of(plan, i, np.arange(b)) for i, b in enumerate(blocks)]
+    assert np.array_equal(np.sort(np.concatenate([s for s, _ in slots])), np.arange(sum(blocks)))
+    for w, (s, phase) in zip(weights, slots):
+        s, w = s[phase == 0], w / sum(weights)
+        assert np.all(np.abs(np.arange(len(s)) - w * s) < 1 + 1e-6) and np.all(np.abs(np.arange(1, len(s) + 1) - w * (s + 1)) < 1 + 1e-6)
+    assert all(np.all(np.diff(s) > 0) for s, _ in slots)
+
+
+def test_mixing_serves_sources_of_weight_zero_last():
+    plan = mixing.phases(mixing.exact_weights([1, 0, 2]), [2, 3, 4])
+    assert sorted(mixing.slots_of(plan, 1, np.arange(3))[0].tolist()) == [6, 7, 8]
+
+
 def test_pipeline_puts_out_the_mixture(spark, tmp_path, monkeypatch):
     """The order outlives the files between the stages, and without the stage there is none."""
     rows = [(i, f"word {i}", "en", "big" if i % 4 else "small", 9) for i in range(1200)]
