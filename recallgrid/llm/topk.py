@@ -121,11 +121,12 @@ class Segment:
                 check += max(8, check // 2)
                 if self.n > p.k:
                     bar = np.partition(low, self.n - p.k)[self.n - p.k]
-                    if bar > 0 and np.count_nonzero(low + slack + left[j] >= bar - 1e-5) <= 4 * p.k:
+                    # documents not touched yet can gain no more than what is left
+                    if left[j] < bar - 1e-5 and np.count_nonzero(low + slack + left[j] >= bar - 1e-5) <= 4 * p.k:
                         break
         rest = left[j] if j + 1 < len(which) else 0.0
         bar = np.partition(low, self.n - p.k)[self.n - p.k] if self.n > p.k else 0.0
-        members = np.flatnonzero((low + slack + rest >= bar - 1e-5) & ((low + slack > 0) | (bar <= 0)))
+        members = np.flatnonzero(low + slack + rest >= bar - 1e-5)
         exact = np.zeros(len(members))
         for t, w, s, e in parts:
             d, i = self.doc[self.begin[s] : self.end[e - 1]], self.impact[self.begin[s] : self.end[e - 1]]

@@ -124,6 +124,24 @@ def test_search_equals_scoring_everything(docs, spark, empty):
     assert topk.search(empty, queries).count() == 0 and topk.search(docs, queries.limit(0)).count() == 0
 
 
+def test_small_segments_equal_scoring_everything():
+    """Segments of 11 to 60 documents, queries of many words; a document of many weak words beats those of a few strong ones."""
+    r, p = np.random.default_rng(2), topk.SearchParams()
+    for trial in range(150):
+        n = 20 if trial == 0 else int(r.integers(11, 60))
+        strong, weak = [f"s{i}" for i in range(4)], [f"w{i}" for i in range(60)]
+        some = [0.0, 0.1, 0.5][trial % 3]
+        texts = [" ".join([*(strong + ["pad"] * 8 * d if d < 10 else ()), *(weak if d == n - 1 else [w for w in weak if r.random() < some])]) or "none" for d in range(n)]
+        vocabulary = {w: i for i, w in enumerate(strong + weak)}
+        query = {i: (9.0 if i < 4 else 2.0) * float(r.uniform(0.5, 1.5) if trial else 1) for i in vocabulary.values()}
+        lengths = [len(t.split()) for t in texts]
+        mean = sum(lengths) / n
+        want = [sum(query[vocabulary[w]] * (p.k1 + 1) / (1 + p.k1 * (1 - p.b + p.b * lengths[d] / mean)) for w in t.split() if w in vocabulary) for d, t in enumerate(texts)]
+        at, score = topk.Segment(texts, vocabulary, mean, p).search(query)
+        best = sorted(x for x in want if x > 0)[-p.k :]
+        assert np.allclose(sorted(score)[-p.k :], best) and np.allclose(score, np.array(want)[at])
+
+
 def test_secrets(docs, empty):
     model = secrets.train(secrets.labelled_findings())
     held = secrets.labelled_findings(600, seed=99)
