@@ -11,7 +11,8 @@ Defined results
 ---------------
 * null or empty text has no findings and passes unchanged; texts are scanned whole;
 * a null path counts as an unknown one;
-* candidates don't overlap: of overlapping ones the assignment's value wins;
+* candidates don't overlap: of overlapping ones the assignment's value wins,
+  and is as likely a secret as the likeliest of itself and the runs in it;
 * equal rows give equal findings, once for each row;
 * labelled findings of one class, or none: a constant model with that class (none: nothing is secret);
 * an empty table gives an empty result; findings carry only the id, and
@@ -54,24 +55,23 @@ class SecretParams:
     mask: str = "[SECRET]"
 
 
+def runs(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """(start, end) of the long runs of token characters with letters and digits."""
+    return [m.span() for m in RUN.finditer(text, start, end) if any(c.isdigit() for c in m.group()) and any(c.isalpha() for c in m.group())]
+
+
 def candidates(text) -> list[tuple[int, int]]:
     """(start, end) of all candidates of a text, in order, none overlapping."""
     if not text:
         return []
-    found = [m.span(1) for m in ASSIGNED.finditer(text)]
-    for m in RUN.finditer(text):
-        s, e = m.span()
-        w = m.group()
-        if any(c.isdigit() for c in w) and any(c.isalpha() for c in w):
+    assigned = [m.span(1) for m in ASSIGNED.finditer(text)]
+    found, k = list(assigned), 0
+    for s, e in runs(text, 0, len(text)):
+        while k < len(assigned) and assigned[k][1] <= s:
+            k += 1
+        if k == len(assigned) or e <= assigned[k][0]:
             found.append((s, e))
-    if len(found) > 1:
-        found.sort()
-        out = [found[0]]
-        for s, e in found[1:]:
-            if s >= out[-1][1]:
-                out.append((s, e))
-        return out
-    return found
+    return sorted(found)
 
 
 def _class(c: str) -> int:
@@ -128,8 +128,11 @@ class SecretModel:
         if not at:
             return []
         k = self.params.context
-        x = np.asarray([self.features(text[s:e], text[max(0, s - k) : s], text[e : e + k], path) for s, e in at], float)
-        return [(s, e, float(p)) for (s, e), p in zip(at, self.predict(x))]
+        judged = [(i, *span) for i, (s, e) in enumerate(at) for span in {(s, e), *runs(text, s, e)}]
+        x = np.asarray([self.features(text[s:e], text[max(0, s - k) : s], text[e : e + k], path) for _, s, e in judged], float)
+        p = np.zeros(len(at))
+        np.maximum.at(p, [i for i, _, _ in judged], self.predict(x))
+        return [(s, e, float(q)) for (s, e), q in zip(at, p)]
 
 
 def transitions(texts: list[str]) -> np.ndarray:

@@ -153,6 +153,15 @@ def test_secrets(docs, empty):
     assert secrets.find_secrets(empty, model).count() == 0
 
 
+def test_assigned_values_win_over_runs(spark):
+    of = lambda t: [t[s:e] for s, e in secrets.candidates(t)]
+    assert of('password = "Abcdefghij1234567!@#xyz" and') == ["Abcdefghij1234567!@#xyz"]
+    assert of("token = eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.s5 then 24be64439e3e49cf46b2") == ["eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.s5", "24be64439e3e49cf46b2"]
+    assert of("24be64439e3e49cf46b2 pwd: a1b2c3") == ["24be64439e3e49cf46b2", "a1b2c3"]
+    docs = spark.createDataFrame([(1, 'password = "Abcdefghij1234567!@#xyz" and', "s")], "doc_id long, text string, source string")
+    assert secrets.redact_secrets(docs, secrets.train(secrets.labelled_findings())).first()["text"] == 'password = "[SECRET]" and'
+
+
 def test_licenses(docs, empty):
     assert [(r["doc_id"], r["template"]) for r in licenses.scan_licenses(docs).collect()] == [(7, "mit")]
     assert licenses.scan_licenses(empty).count() == 0 and licenses.scan_licenses(docs, {}).count() == 0
