@@ -8,7 +8,7 @@ never cross a word, and words are independent, so the result is that of merging
 each word by itself.  Word results are kept in a bounded memo.
 
 The vocabulary file (base64 token and rank per line) is read where the work is
-done or shipped once; its path is a parameter.
+done; its path, the same on every node, is a parameter.
 
 Defined results
 ---------------
@@ -60,7 +60,10 @@ class Bpe:
         self.size[known] = [len(self.bytes[i]) for i in known]
         self.place = np.zeros(self.width, np.int32)
         self.place[known] = np.cumsum(self.size[known]) - self.size[known]
-        self.letters = np.frombuffer(b"".join(self.bytes[i] for i in known), np.uint8)
+        # the last place stands for ids that the vocabulary lacks
+        self.size, self.place = np.append(self.size, np.int32(3)), np.append(self.place, np.int32(self.size.sum()))
+        self.letters = np.frombuffer(b"".join([*(self.bytes[i] for i in known), "\ufffd".encode()]), np.uint8)
+        self.lacking = np.append(self.size[:-1] == 0, True)
 
     def forget(self) -> None:
         self.memo: dict[str, int] = {}
@@ -107,17 +110,32 @@ class Bpe:
             at = at[self.rank_of(sym[at], sym[nxt[at]]) == rank]  # the others were merged elsewhere meanwhile
             if not len(at):
                 continue
+            every = at = np.unique(at)
             if len(at) > 1:
-                at = np.unique(at)
-                first = np.ones(len(at), bool)
-                first[1:] = word[at[1:]] != word[at[:-1]]
-                if not first.all():  # in a word the leftmost comes first, and then whatever is lowest
-                    index[rank] = [at[~first]]
-                    heapq.heappush(active, rank)
-                    at = at[first]
+                # of positions that follow each other at once, as in a run of one letter, every other one
+                run = np.concatenate([[True], nxt[at[:-1]] != at[1:]])
+                number = np.arange(len(at))
+                at = at[(number - np.maximum.accumulate(np.where(run, number, 0))) % 2 == 0]
             gone = nxt[at]
+            left, after = prv[at], nxt[gone]
+            # from left to right in a word, until a merge makes a pair that comes before this one
+            merged = np.concatenate([[False], gone[:-1] == left[1:]])
+            before = np.where(left >= 0, self.rank_of(np.where(merged, rank, sym[left]), np.full(len(at), rank)), -1)
+            behind = np.where(after >= 0, self.rank_of(np.full(len(at), rank), sym[after]), -1)
+            lower = ((before >= 0) & (before < rank)) | ((behind >= 0) & (behind < rank))
+            if lower.any():
+                w = word[at]
+                stop = np.unique(w[lower], return_index=True)
+                ends = np.full(len(at), len(at))
+                k = np.minimum(np.searchsorted(stop[0], w), len(stop[0]) - 1)
+                own = stop[0][k] == w
+                ends[own] = np.flatnonzero(lower)[stop[1]][k[own]]
+                now = np.arange(len(at)) <= ends
+                if not now.all():
+                    index[rank] = [np.setdiff1d(every, at[now], assume_unique=True)]
+                    heapq.heappush(active, rank)
+                    at, gone, after = at[now], gone[now], after[now]
             sym[at], sym[gone] = rank, -1
-            after = nxt[gone]
             nxt[at] = after
             prv[after[after >= 0]] = at[after >= 0]
             left = prv[at]
@@ -126,44 +144,21 @@ class Bpe:
         counts = np.bincount(word[kept], minlength=len(raw))
         return sym[kept], counts
 
-    def merge_long(self, raw: bytes) -> list[int]:
-        """The same for one long word: a heap of (rank, position)."""
-        sym = self.byte_id[np.frombuffer(raw, np.uint8)].tolist()
-        n, width, rank_of = len(sym), self.width, self.pairs.get
-        nxt, prv = [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := rank_of(sym[i] * width + sym[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = nxt[i]
-            if sym[i] < 0 or j < 0 or rank_of(sym[i] * width + sym[j]) != rank:
-                continue
-            sym[i], sym[j] = rank, -1
-            after = nxt[i] = nxt[j]
-            if after >= 0:
-                prv[after] = i
-            for a in (prv[i], i):
-                if a >= 0 and nxt[a] >= 0 and (r := rank_of(sym[a] * width + sym[nxt[a]])) is not None:
-                    heapq.heappush(heap, (r, a))
-        return [x for x in sym if x >= 0]
-
     def learn(self, new: list[str]) -> None:
         """Encodes distinct words together and puts their ids into the memo."""
-        short, raws, single, singles, long = [], [], [], [], []
+        words, raws, single, singles = [], [], [], []
         for w in new:
             raw = w.encode("utf-8")
             if (known := self.ranks.get(raw)) is not None:
                 single.append(w)
                 singles.append(known)
-            elif len(raw) > 1000:
-                long.append((w, self.merge_long(raw)))
             else:
-                short.append(w)
+                words.append(w)
                 raws.append(raw)
-        flat, count = self.merge_all(raws) if short else (np.zeros(0, np.int32), np.zeros(0, np.int32))
-        flat = np.concatenate([flat, np.asarray(singles, np.int64), *(np.asarray(x, np.int64) for _, x in long)]).astype(np.int32)
-        count = np.concatenate([count, np.ones(len(single), np.int64), [len(x) for _, x in long]]).astype(np.int32)
-        self.memo.update(zip([*short, *single, *(w for w, _ in long)], range(len(self.memo), len(self.memo) + len(count))))
+        flat, count = self.merge_all(raws) if words else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        flat = np.concatenate([flat, np.asarray(singles, np.int64)]).astype(np.int32)
+        count = np.concatenate([count, np.ones(len(single), np.int64)]).astype(np.int32)
+        self.memo.update(zip([*words, *single], range(len(self.memo), len(self.memo) + len(count))))
         self.begin = np.concatenate([self.begin, (np.cumsum(count) - count + len(self.flat)).astype(np.int32)])
         self.flat, self.count = np.concatenate([self.flat, flat]), np.concatenate([self.count, count])
 
@@ -192,13 +187,12 @@ class Bpe:
 
     def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes of all texts, and where each text ends (with a zero before)."""
+        ids = np.where((ids >= 0) & (ids < self.width), ids, self.width)
+        ids = np.where(self.lacking[ids], self.width, ids)
         size = self.size[ids]
         total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         return self.letters[_spread(self.place[ids], size)].tobytes(), total[ends]
 
-    def decode(self, ids) -> str | None:
-        return None if ids is None else b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-
 
 def _spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... for count[0] numbers, then begin[1], ..."""
@@ -253,13 +247,18 @@ def encode_documents(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc
 
 
 def decode_documents(encoded: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
-    """(id, ``text``) from ids; null for null."""
+    """(id, ``text``) from ids; null for null, and U+FFFD for a null or unknown id and for bytes that aren't UTF-8."""
     kind = encoded.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("text", T.StringType())])
 
     def run(batches):
         bpe = made(path)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode(i) for i in batch.column(1).to_pylist()], pa.string())], names=schema.names)
+            lists = batch.column(1)
+            ids = pc.fill_null(pc.list_flatten(lists), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+            raw, cuts = bpe.decode_flat(ids, ends)
+            texts = [raw[s:e].decode("utf-8", "replace") if there else None for s, e, there in zip(cuts.tolist(), cuts[1:].tolist(), lists.is_valid().to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=schema.names)
 
     return encoded.select(id_col, ids_col).mapInArrow(run, schema)
