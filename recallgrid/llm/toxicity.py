@@ -205,12 +205,12 @@ def choose_threshold(prob: np.ndarray, y: np.ndarray, max_false_rejection: float
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> ToxicityModel:
-    """Fits on the ``max_labelled`` labelled documents with the smallest id hashes (whole texts)."""
+    """Fits on the ``max_labelled`` labelled rows with the smallest id hashes (whole texts; rows of one id count each)."""
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(params.max_labelled)
     rows = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull())
         .join(F.broadcast(chosen), "doc_id")  # at most max_labelled rows of two integers
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "text", "toxic").limit(2 * params.max_labelled).toPandas()
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "text", "toxic").limit(params.max_labelled).toPandas()
     )
     return train(rows["text"].tolist(), rows["toxic"].tolist(), params)
 
