@@ -23,6 +23,7 @@ Defined results
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +35,8 @@ from pyspark.sql import functions as F
 from recallgrid.llm._common import written
 
 CHUNK_BITS = 16
+#: Numpy draws from fewer rows than that.
+NUMPY_ROWS = 1_000_000_000
 
 
 @dataclass(frozen=True)
@@ -44,7 +47,7 @@ class ShardParams:
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
     """One exact draw; beyond numpy's range by ratio of uniforms over log-factorials."""
-    if good + bad < 1_000_000_000:
+    if good + bad < NUMPY_ROWS:
         return int(rng.hypergeometric(good, bad, sample)) if sample else 0
     total = good + bad
     m, k = min(sample, total - sample), min(good, bad)
@@ -68,7 +71,7 @@ def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -
 def split_counts(rng: np.random.Generator, capacity: np.ndarray, sample: int) -> np.ndarray:
     """How many of ``sample`` rows, drawn without replacement, fall to each shard."""
     total = int(capacity.sum())
-    if total < 1_000_000_000:
+    if total < NUMPY_ROWS:
         return rng.multivariate_hypergeometric(capacity, sample, method="marginals")
     out = np.zeros_like(capacity)
     for i, c in enumerate(capacity.tolist()):
@@ -116,19 +119,28 @@ def shard_documents(docs: DataFrame, params: ShardParams = ShardParams()) -> Dat
     shared = spark.sparkContext.broadcast((number, before, sizes))
 
     @F.pandas_udf("shard int, arrival long")
-    def send(file: pd.Series, chunk: pd.Series, row: pd.Series) -> pd.DataFrame:
+    def send(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         number, before, sizes = shared.value
-        file, chunk, row = file.to_numpy(), chunk.to_numpy(), row.to_numpy()
-        shard, arrival = np.zeros(len(row), np.int32), np.zeros(len(row), np.int64)
-        for f, c in set(zip(file.tolist(), chunk.tolist())):
-            i = number[f, c]
-            counts, offset = matrix_row(i, before, sizes, seed)
-            here = np.flatnonzero((file == f) & (chunk == c))
-            rank = np.random.default_rng([seed, 1 << 40, i]).permutation(int(before[i + 1] - before[i]))[row[here] - (c << CHUNK_BITS)]
-            ends = np.cumsum(counts)
-            s = np.searchsorted(ends, rank, "right")
-            shard[here], arrival[here] = s, offset[s] + rank - (ends - counts)[s]
-        return pd.DataFrame({"shard": shard, "arrival": arrival})
+        drawn: dict = {}  # the chunk that is read now, and the one before
+
+        def of(i: int):
+            if i not in drawn:
+                if len(drawn) > 1:
+                    del drawn[next(iter(drawn))]
+                counts, offset = matrix_row(i, before, sizes, seed)
+                drawn[i] = counts, offset, np.cumsum(counts), np.random.default_rng([seed, 1 << 40, i]).permutation(int(before[i + 1] - before[i]))
+            return drawn[i]
+
+        for file, chunk, row in parts:
+            file, chunk, row = file.to_numpy(), chunk.to_numpy(), row.to_numpy()
+            shard, arrival = np.zeros(len(row), np.int32), np.zeros(len(row), np.int64)
+            for f, c in sorted(set(zip(file.tolist(), chunk.tolist()))):
+                counts, offset, ends, place = of(number[f, c])
+                here = np.flatnonzero((file == f) & (chunk == c))
+                rank = place[row[here] - (c << CHUNK_BITS)]
+                s = np.searchsorted(ends, rank, "right")
+                shard[here], arrival[here] = s, offset[s] + rank - (ends - counts)[s]
+            yield pd.DataFrame({"shard": shard, "arrival": arrival})
 
     @F.pandas_udf("long")
     def permute(shard: pd.Series, arrival: pd.Series) -> pd.Series:
