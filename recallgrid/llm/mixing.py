@@ -19,7 +19,7 @@ Defined results
   others, negative weights are an error;
 * text and its length play no role, null or long texts are scheduled like others;
 * documents of a source are ordered by a hash of the id and text, then the id;
-  fully equal rows are interchangeable and all kept;
+  fully equal rows are interchangeable and all kept (in one partition);
 * columns ``slot``, ``in_block`` or ``phase`` of the input are replaced in the
   schedule, while :func:`mix_documents` returns the input's columns as they are;
 * an empty table gives an empty result.
@@ -37,7 +37,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 20_000
 BROADCAST_SOURCES = 100_000
 
 
@@ -130,61 +129,73 @@ def slots_of(plan: list[dict], source: int, block: np.ndarray) -> tuple[np.ndarr
     return slot, phase
 
 
-def _scheduled(docs: DataFrame, params: MixParams, source_col: str, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """``docs`` with ``__slot``, ``__in`` and ``__phase``; the number of slots."""
-    spark = docs.sparkSession
+def _scheduled(docs: DataFrame, params: MixParams, source_col: str, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with ``__slot``, ``__in`` and ``__phase``, exchanged once: by the range of slots that a row falls in if its hash is at its expected rank.
+
+    The number of rows in each source and range, from a pass that moves none of them, gives the rank of a range's first
+    row of a source; it travels with the range's rows, and the ranks of the others follow from their order in it."""
+    spark, block, per = docs.sparkSession, params.block, params.slots_per_partition
     counts = docs.groupBy(source_col).agg(F.count("*").alias("n")).collect()  # a row a source
     counts = sorted(((r[0], r["n"]) for r in counts), key=lambda r: (r[0] is None, str(r[0])))
     given = {k: float(v) for k, v in params.weights.items()}
     a = exact_weights([given.get(s, n**params.exponent) for s, n in counts]) if counts else []
-    blocks = [-(-n // params.block) for _, n in counts]
-    plan = phases(a, blocks)
-    total = sum(blocks)
+    blocks = [-(-n // block) for _, n in counts]
     kind = docs.schema[source_col].dataType.simpleString()
-    known = spark.createDataFrame([(s, i, -(-n // BUCKET_ROWS)) for i, (s, n) in enumerate(counts)], f"__s {kind}, __i int, __buckets int")
+    known = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(counts)], f"__s {kind}, __i int")
     known = F.broadcast(known) if len(counts) <= BROADCAST_SOURCES else known  # else Spark joins by a shuffle
-    text = F.col(text_col) if text_col in docs.columns else F.lit(None).cast("string")
-    keyed = docs.join(known, F.col(source_col).eqNullSafe(F.col("__s"))).drop("__s").withColumn("__h", F.xxhash64(F.lit(params.seed), F.col(id_col), text))
-    keyed = keyed.withColumn("__bucket", F.pmod(F.shiftright("__h", 20), F.col("__buckets")).cast("int")).drop("__buckets")
-    sizes = keyed.groupBy("__i", "__bucket").agg(F.count("*").alias("n")).orderBy("__i", "__bucket").toPandas()  # a row for 20,000 documents
-    sizes["before"] = sizes.groupby("__i")["n"].cumsum() - sizes["n"]
-    offset = dict(zip(zip(sizes["__i"].tolist(), sizes["__bucket"].tolist()), sizes["before"].tolist()))
-    shared = spark.sparkContext.broadcast((plan, offset))
-    block = params.block
+    shared = spark.sparkContext.broadcast((phases(a, blocks), [n for _, n in counts]))  # 8 bytes a block
+    ranges = max(1, -(-sum(blocks) // per))
+
+    @F.pandas_udf("int")
+    def range_of(source: pd.Series, h: pd.Series) -> pd.Series:
+        plan, rows = shared.value
+        source, at = source.to_numpy(), (h.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        out = np.zeros(len(source), np.int32)
+        for s in np.unique(source).tolist():
+            here = source == s
+            rank = np.minimum((at[here] * rows[s]).astype(np.int64), rows[s] - 1)
+            out[here] = slots_of(plan, s, rank // block)[0] // per
+        return pd.Series(out)
 
     @F.pandas_udf("slot long, at int, phase int")
-    def place(source: pd.Series, bucket: pd.Series, row: pd.Series) -> pd.DataFrame:
-        plan, offset = shared.value
-        source, bucket = source.to_numpy(), bucket.to_numpy()
-        rank = np.fromiter((offset[k] for k in zip(source.tolist(), bucket.tolist())), np.int64, len(source)) + row.to_numpy()
+    def place(source: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        plan, _ = shared.value
+        source, rank = source.to_numpy(), rank.to_numpy()
         slot, phase = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int32)
         for s in np.unique(source).tolist():
             here = source == s
             slot[here], phase[here] = slots_of(plan, s, rank[here] // block)
         return pd.DataFrame({"slot": slot, "at": (rank % block).astype(np.int32), "phase": phase})
 
-    order = Window.partitionBy("__i", "__bucket").orderBy("__h", id_col)
-    ranked = keyed.withColumn("__n", F.row_number().over(order).cast("long") - 1)
-    out = ranked.withColumn("__p", place("__i", "__bucket", "__n"))
-    return out.select(*docs.columns, F.col("__p.slot").alias("__slot"), F.col("__p.at").alias("__in"), F.col("__p.phase").alias("__phase")), total
+    text = F.lit(0) if text_col not in docs.columns else F.xxhash64(text_col) if docs.schema[text_col].dataType.simpleString() == "string" else F.col(text_col)
+    hashed = docs.join(known, F.col(source_col).eqNullSafe(F.col("__s"))).drop("__s").withColumn("__h", F.xxhash64(F.lit(params.seed), F.col(id_col), text))
+    keyed = hashed.withColumn("__range", range_of("__i", "__h"))
+    sizes = keyed.groupBy("__i", "__range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("__i").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    heads = sizes.select("__i", "__range", F.coalesce(before, F.lit(0)).alias("__first"))
+    both = keyed.withColumn("__first", F.lit(None).cast("long")).unionByName(heads, allowMissingColumns=True)
+    order = Window.partitionBy("__range", "__i").orderBy(F.col("__first").isNull(), "__h", id_col)
+    # the head comes first, so the others are numbered from 1
+    ranked = both.repartitionById(ranges, F.col("__range")).withColumn("__n", F.row_number().over(order) - 2 + F.max("__first").over(order)).where(F.col("__first").isNull())
+    out = ranked.withColumn("__p", place("__i", "__n"))
+    return out.select(*docs.columns, F.col("__p.slot").alias("__slot"), F.col("__p.at").alias("__in"), F.col("__p.phase").alias("__phase"))
 
 
 def schedule(docs: DataFrame, params: MixParams = MixParams(), source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, source, ``slot``, ``in_block``, ``phase``) of every document; in order of (slot, in_block) the sources are mixed."""
     slim = docs.select(id_col, source_col, F.xxhash64(text_col).alias("__text") if text_col in docs.columns else F.lit(0).alias("__text"))
-    df, _ = _scheduled(slim, params, source_col, id_col, "__text")
+    df = _scheduled(slim, params, source_col, id_col, "__text")
     return df.select(id_col, source_col, F.col("__slot").alias("slot"), F.col("__in").alias("in_block"), F.col("__phase").alias("phase"))
 
 
 def mix_documents(docs: DataFrame, params: MixParams = MixParams(), source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None, phase_col: str | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, in the order of the schedule: partitions are consecutive ranges of slots.
+    """The rows of ``docs``, all columns: a partition holds the rows around one range of slots, in order (next to the border
+    of two ranges a few rows lie on either side of it, as ranges are cut by the expected rank).
 
     Files don't keep that order; ``order_col`` names a column for it (distinct longs, ascending in the order of the
     schedule), ``phase_col`` one for the phase (0 as long as the target weights hold).
     """
-    df, total = _scheduled(docs, params, source_col, id_col, text_col)
-    per = params.slots_per_partition
-    placed = df.repartitionById(max(1, -(-total // per)), (F.col("__slot") / per).cast("int"))
+    df = _scheduled(docs, params, source_col, id_col, text_col)
     more = {order_col: F.col("__slot") * params.block + F.col("__in"), phase_col: F.col("__phase")}
     more = {name: c for name, c in more.items() if name}
-    return placed.sortWithinPartitions("__slot", "__in").select(*(c for c in docs.columns if c not in more), *(c.alias(name) for name, c in more.items()))
+    return df.sortWithinPartitions("__slot", "__in").select(*(c for c in docs.columns if c not in more), *(c.alias(name) for name, c in more.items()))
