@@ -1,7 +1,9 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents are sets of word n-grams (64-bit hashes, of which the bucket and 40
-bits are compared).  Documents with equal sets form a class and are joined as one.
+Documents are sets of word n-grams (hashes, of which 48 bits and the bucket are
+compared: of D distinct n-grams in B buckets one is taken for another with
+probability D / (B * 2**48), some 1e-9 at 1e9 n-grams).  Documents with equal sets
+form a class and are joined as one.
 
 1. Occurrences are exchanged once, packed by token: a token that only one class
    has can't be shared, and a class needs at least ``t * size`` shared tokens to
@@ -14,17 +16,19 @@ bits are compared).  Documents with equal sets form a class and are joined as on
 3. A query is bounded by its overlap with the other group's union; only groups
    that reach ``t * size`` are opened, and there overlaps are counted exactly.
 
-Nothing is capped, so all pairs of at least the threshold are found.  Pairs among
-equal sets aren't multiplied out: each class is one list of ids.
+Nothing is capped: every pair of at least the threshold is found and counted.  Pairs
+are counted where they are found, and of each opened block only a spanning forest
+leaves the task, so the result has a row for each document, however many pairs
+there are.
 
 Defined results
 ---------------
-* null texts and texts without words belong to no pair and are always kept;
-  shorter texts than n words are a single gram; long texts are read whole;
-* rows with a null id belong to no pair and are kept;
-* equal rows (same id and text) form a class, and deduplication keeps one of them;
-* of each connected group the row with the smallest id stays (ties: smaller text hash);
-* an empty table gives an empty result; the pairs read only id and text, and
+* null texts and texts without words have no links, are their own class and are always
+  kept; shorter texts than n words are a single gram; long texts are read whole;
+* rows with a null id are in no class (null, no links) and are kept;
+* equal rows (same id and text) link to each other, and deduplication keeps one of them;
+* of each connected class the row with the smallest id stays (ties: smaller text hash);
+* an empty table gives an empty result; the join reads only id and text, and
   deduplication keeps the input's columns, whatever their names.
 """
 
@@ -42,15 +46,20 @@ from pyspark.sql import functions as F
 
 from recallgrid.llm._common import WordHashes, mix, ngram_set, written
 
-LOW = np.uint64((1 << 40) - 1)
+BITS = 48
+#: What a text with words matches.
+WORDS = r"[\p{L}\p{N}_]"
 
 
 @dataclass(frozen=True)
 class JaccardParams:
+    """``bucket_mb``: text for each bucket of tokens, that a task holds; ``cell_mb``: tokens of the groups that a task opens."""
+
     n: int = 3
     threshold: float = 0.55
     group: int = 1024
     cell_mb: int = 24
+    bucket_mb: int = 10
 
 
 def least(size: int, t: float) -> int:
@@ -66,12 +75,12 @@ def class_of(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _pack(t: np.ndarray, width: int = 6) -> bytes:
+def _pack(t: np.ndarray, width: int = 7) -> bytes:
     """The low bytes of each number."""
     return np.ascontiguousarray(t.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _unpack(blobs, width: int = 6) -> np.ndarray:
+def _unpack(blobs, width: int = 7) -> np.ndarray:
     raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
     out = np.zeros((len(raw), 8), np.uint8)
     out[:, :width] = raw
@@ -102,23 +111,21 @@ def occurrences(docs: DataFrame, buckets: int, p: JaccardParams, id_col: str, te
             for at in range(0, b.num_rows, 2500):
                 part = b.slice(at, 2500)
                 sets = token_sets(part.column(2).to_pylist(), p.n, memo)
-                some = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
-                if not len(some):
-                    continue
-                of = np.fromiter((class_of(sets[i]) for i in some.tolist()), np.int64, len(some))
-                size = np.fromiter((len(sets[i]) for i in some.tolist()), np.int32, len(some))
-                doc, th = (part.column(c).to_numpy(zero_copy_only=False)[some].astype(np.int64) for c in (0, 1))
+                doc, th = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+                # a row without words has size 0, and its id for a class
+                of = np.fromiter((class_of(s) if len(s) else d for s, d in zip(sets, doc.tolist())), np.int64, len(sets))
+                size = np.fromiter(map(len, sets), np.int32, len(sets))
                 rows = [(k, None, None, None, doc[i].tobytes(), th[i].tobytes(), of[i].tobytes(), size[i].tobytes()) for k, i in _by_bucket((of % buckets).astype(np.int32))]
-                own = {int(c): sets[i] for c, i in zip(of, some.tolist())}
-                tok = np.concatenate(list(own.values()))
+                own = {c: s for c, s in zip(of.tolist(), sets) if len(s)}
+                tok = np.concatenate([np.zeros(0, np.uint64), *own.values()])
                 cls = np.repeat(np.fromiter(own, np.int64, len(own)), [len(s) for s in own.values()])
                 for k, i in _by_bucket(((tok >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)):
                     c = cls[i]
                     begin, end = _cuts(c)
-                    rows.append((k, _pack(tok[i] & LOW, 5), c[begin].tobytes(), (end - begin).astype(np.uint32).tobytes(), None, None, None, None))
+                    rows.append((k, _pack(tok[i], BITS // 8), c[begin].tobytes(), (end - begin).astype(np.uint32).tobytes(), None, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if j else pa.int32()) for j, x in enumerate(zip(*rows))], names=["bucket", "tok", "cls", "runs", "doc", "th", "of", "size"])
 
-    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    slim = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     return slim.mapInArrow(run, "bucket int, tok binary, cls binary, runs binary, doc binary, th binary, of binary, size binary")
 
 
@@ -126,14 +133,27 @@ def _flat(blobs, kind) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), kind)
 
 
+def _blobs(batches, names: tuple[str, ...]) -> dict[str, list]:
+    """All values of the binary columns of a partition; None where null."""
+    out: dict[str, list] = {c: [] for c in names}
+    for b in batches:
+        for c in names:
+            out[c] += b.column(c).to_pylist()
+    return out
+
+
 def shared_tokens(found: DataFrame, buckets: int) -> DataFrame:
     """Occurrences of the tokens that at least two classes have, packed by class bucket: a token becomes its number in the bucket, its class count a log-scaled byte.  Rows of documents pass through."""
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        docs = group[group["doc"].notna()]
-        rows = [(key[0], 0, None, None, None, d, t, o, n) for d, t, o, n in zip(docs["doc"], docs["th"], docs["of"], docs["size"])]
-        group = group[group["tok"].notna()]
-        tok, cls = _unpack(group["tok"], 5), np.repeat(_flat(group["cls"], np.int64), _flat(group["runs"], np.uint32))
+    def run(batches):
+        x = _blobs(batches, ("bucket", "tok", "cls", "runs", "doc", "th", "of", "size"))
+        if not x["bucket"]:
+            return
+        own = x["bucket"][0]
+        rows = [(own, 0, None, None, None, d, t, o, n) for d, t, o, n in zip(x["doc"], x["th"], x["of"], x["size"]) if d is not None]
+        some = [i for i, t in enumerate(x["tok"]) if t is not None]
+        tok, cls = _unpack([x["tok"][i] for i in some], BITS // 8), np.repeat(_flat([x["cls"][i] for i in some], np.int64), _flat([x["runs"][i] for i in some], np.uint32))
+        del x
         order = np.lexsort((cls, tok))
         tok, cls = tok[order], cls[order]
         new = np.concatenate([[True], (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])]) if len(tok) else np.zeros(0, bool)
@@ -146,25 +166,34 @@ def shared_tokens(found: DataFrame, buckets: int) -> DataFrame:
         number, cls, level = number[some], cls[some], level[some]
         for k, i in _by_bucket((cls % buckets).astype(np.int32)):
             i = i[np.argsort(cls[i], kind="stable")]
-            rows.append((k, key[0], number[i].tobytes(), cls[i].tobytes(), level[i].tobytes(), None, None, None, None))
-        return pd.DataFrame(rows, columns=["home", "bucket", "tok", "cls", "level", "doc", "th", "of", "size"])
+            rows.append((k, own, number[i].tobytes(), cls[i].tobytes(), level[i].tobytes(), None, None, None, None))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if j > 1 else pa.int32()) for j, c in enumerate(zip(*rows))], names=["home", "bucket", "tok", "cls", "level", "doc", "th", "of", "size"])
 
-    return found.groupBy("bucket").applyInPandas(run, "home int, bucket int, tok binary, cls binary, level binary, doc binary, th binary, of binary, size binary")
+    return found.repartitionById(buckets, F.col("bucket")).mapInArrow(run, "home int, bucket int, tok binary, cls binary, level binary, doc binary, th binary, of binary, size binary")
 
 
-def survivors(shared: DataFrame, p: JaccardParams) -> DataFrame:
-    """Rows (doc, th, cls, size) of all documents, and rows (cls, size, grp, need, tok), without ``doc``, of the classes with enough shared tokens to have a partner.
+def survivors(shared: DataFrame, buckets: int, p: JaccardParams) -> DataFrame:
+    """Rows (doc, th, cls, size) of all documents, and rows (cls, size, n, grp, need, tok), without ``doc``, of the classes with enough shared tokens to have a partner.
 
-    ``tok`` holds the shared tokens in ascending frequency, ``need`` those that must be shared."""
+    ``tok`` holds the shared tokens in ascending frequency, ``need`` those that must be shared, ``n`` the rows of the class."""
     t = p.threshold
+    names = ["doc", "th", "cls", "size", "n", "grp", "need", "tok"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
-    def run(packed: pd.DataFrame) -> pd.DataFrame:
-        docs, packed = packed[packed["doc"].notna()], packed[packed["tok"].notna()]
-        doc, th, of, sizes = _flat(docs["doc"], np.int64), _flat(docs["th"], np.int64), _flat(docs["of"], np.int64), _flat(docs["size"], np.int32)
-        out = pd.DataFrame({"doc": pd.array(doc, "Int64"), "th": th, "cls": of, "size": sizes, "grp": 0, "need": 0, "tok": None})
-        size = dict(zip(of.tolist(), sizes.tolist()))
-        tok = np.concatenate([np.uint64(b << 32) + np.frombuffer(x, np.uint32) for b, x in zip(packed["bucket"], packed["tok"])]) if len(packed) else np.zeros(0, np.uint64)
-        cls, level = _flat(packed["cls"], np.int64), _flat(packed["level"], np.uint8)
+    def run(batches):
+        x = _blobs(batches, ("bucket", "tok", "cls", "level", "doc", "th", "of", "size"))
+        some = [i for i, b in enumerate(x["tok"]) if b is not None]
+        pick = lambda c, kind: _flat([b for b in x[c] if b is not None], kind)
+        doc, th, of, sizes = pick("doc", np.int64), pick("th", np.int64), pick("of", np.int64), pick("size", np.int32)
+        if len(doc):
+            none = pa.nulls(len(doc))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip((doc, th, of, sizes), kinds)), *(none.cast(k) for k in kinds[4:])], names=names)
+        each, first, times = np.unique(of, return_index=True, return_counts=True)
+        size, many = dict(zip(each.tolist(), sizes[first].tolist())), dict(zip(each.tolist(), times.tolist()))
+        tok = np.concatenate([np.uint64(x["bucket"][i] << 32) + np.frombuffer(x["tok"][i], np.uint32) for i in some]) if some else np.zeros(0, np.uint64)
+        cls, level = pick("cls", np.int64), pick("level", np.uint8)
+        del x
         order = np.lexsort((tok, level, cls))
         tok, cls, level = tok[order], cls[order], level[order]
         rows = []
@@ -174,14 +203,18 @@ def survivors(shared: DataFrame, p: JaccardParams) -> DataFrame:
             if e - s < need:
                 continue
             own, freq = tok[s:e], level[s:e]
-            first = np.argsort(mix(own), kind="stable")[:2]
+            h = mix(own)
+            first = np.argsort(h, kind="stable")[:2]
             parts = math.ceil(2 ** (int(freq[first[0]]) / 8) / p.group)
-            cut = int(mix(own)[first[-1]] % np.uint64(parts))
-            rows.append((None, 0, int(cls[s]), n, xxhash.xxh3_64_intdigest(b"%d %d" % (own[first[0]], cut)) - (1 << 63), need, _pack(own)))
-        more = pd.DataFrame(rows, columns=list(out.columns)).astype({"doc": "Int64"})
-        return pd.concat([out, more]) if len(out) and len(more) else more if len(more) else out
+            cut = int(h[first[-1]] % np.uint64(parts))
+            rows.append((None, 0, int(cls[s]), n, many[int(cls[s])], xxhash.xxh3_64_intdigest(b"%d %d" % (own[first[0]], cut)) - (1 << 63), need, _pack(own)))
+            if len(rows) == 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return shared.groupBy("home").applyInPandas(run, "doc long, th long, cls long, size int, grp long, need int, tok binary")
+    return shared.repartitionById(buckets, F.col("home")).mapInArrow(run, "doc long, th long, cls long, size int, n long, grp long, need int, tok binary")
 
 
 def prefixes(alive: DataFrame) -> DataFrame:
@@ -202,16 +235,43 @@ def prefixes(alive: DataFrame) -> DataFrame:
 
 
 def candidate_groups(alive: DataFrame) -> DataFrame:
-    """Pairs of groups g1 <= g2 that can hold partners."""
-    matrix = prefixes(alive).distinct()
-    rows = matrix.groupBy("token").agg(F.sort_array(F.collect_list("grp")).alias("g")).where(F.size("g") > 1)
-    pairs = rows.select(F.posexplode("g").alias("i", "g1"), "g").select("g1", F.explode(F.expr("slice(g, i + 2, size(g))")).alias("g2")).distinct()
-    own = alive.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))
+    """Pairs of groups g1 <= g2 that can hold partners: they share a prefix token and their sizes are near enough."""
+    rows = prefixes(alive).distinct()
+    span = alive.groupBy("grp").agg(F.min("need").alias("need"), F.max("size").alias("size"), F.count("*").alias("n"))
+    matrix = rows.join(span.drop("n"), "grp")
+    one, two = (matrix.select("token", F.col("grp").alias(f"g{i}"), F.col("need").alias(f"need{i}"), F.col("size").alias(f"size{i}")) for i in (1, 2))
+    pairs = one.join(two, "token").where("g1 < g2 and size1 >= need2 and size2 >= need1").select("g1", "g2").distinct()
+    own = span.where("n > 1").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))
     return pairs.unionByName(own)
 
 
-def open_groups(a: tuple, b: tuple | None, t: float) -> list[tuple[int, int, float]]:
-    """Partners between two groups, or within one; a group is (classes, sizes, list of token arrays)."""
+def forest(hit: np.ndarray, square: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (row, column) of a spanning forest of the partners; ``square``: rows and columns are the same."""
+    rows, cols, seen_row, seen_col = [], [], ~hit.any(1), np.zeros(hit.shape[1], bool)
+    if square:
+        seen_col = seen_row
+    while not seen_row.all():
+        front = np.array([int(np.argmin(seen_row))])
+        seen_row[front] = True
+        while len(front):
+            new = np.flatnonzero(hit[front].any(0) & ~seen_col)
+            rows.append(front[hit[np.ix_(front, new)].argmax(0)])
+            cols.append(new)
+            seen_col[new] = True
+            front = new
+            if not square and len(new):
+                front = np.flatnonzero(hit[:, new].any(1) & ~seen_row)
+                rows.append(front)
+                cols.append(new[hit[np.ix_(front, new)].argmax(1)])
+                seen_row[front] = True
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *rows]), np.concatenate([none, *cols])
+
+
+def open_groups(a: tuple, b: tuple | None, t: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Partners between two groups, or within one; a group is (classes, sizes, list of token arrays, rows of each class).
+
+    (class, rows of its partners) for both sides, and the edges of a spanning forest."""
     same = b is None
     b = a if same else b
 
@@ -226,14 +286,14 @@ def open_groups(a: tuple, b: tuple | None, t: float) -> list[tuple[int, int, flo
 
     ia = np.arange(len(a[0])) if same else bounded(a, b)
     if not len(ia):
-        return []
+        return [], []
     ib = ia if same else bounded(b, a)
     if not len(ib):
-        return []
+        return [], []
     ta, tb = [a[2][i] for i in ia], [b[2][i] for i in ib]
     common = np.unique(np.concatenate(ta)) if same else np.intersect1d(np.unique(np.concatenate(ta)), np.unique(np.concatenate(tb)), assume_unique=True)
     if not len(common):
-        return []
+        return [], []
 
     def cells(sets):
         flat = np.concatenate(sets)
@@ -254,16 +314,20 @@ def open_groups(a: tuple, b: tuple | None, t: float) -> list[tuple[int, int, flo
     total = na[:, None] + nb[None, :]
     hit = over * (1 + t) >= t * total - 1e-6
     if same:
-        hit &= np.triu(np.ones(hit.shape, bool), 1)
-    return [(int(a[0][ia[i]]), int(b[0][ib[j]]), float(over[i, j] / (total[i, j] - over[i, j]))) for i, j in zip(*np.nonzero(hit))]
-
-
-def class_pairs(docs: DataFrame, p: JaccardParams, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows with an id and words (``doc``, ``th``, ``cls``), and all pairs of classes (``a`` < ``b``, ``jaccard``) of at least the threshold, both in the shared folder."""
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = written(survivors(shared_tokens(occurrences(docs, buckets, p, id_col, text_col), buckets), p), "survivors")
-    known, alive = both.where("doc is not null").select("doc", "th", "cls"), both.where("doc is null").select("cls", "size", "grp", "need", "tok")
+        np.fill_diagonal(hit, False)
+    ca, cb, ma, mb = (np.asarray(x, np.int64)[i] for x, i in ((a[0], ia), (b[0], ib), (a[3], ia), (b[3], ib)))
+    links = [(ca, hit @ mb)] if same else [(ca, hit @ mb), (cb, ma @ hit)]
+    i, j = forest(hit, same)
+    return [(int(c), int(n)) for cls, times in links for c, n in zip(cls[times > 0], times[times > 0])], list(zip(ca[i].tolist(), cb[j].tolist()))
+
+
+def linked_classes(docs: DataFrame, p: JaccardParams, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All rows with an id (``doc``, ``th``, ``cls``, ``size``: 0 without words), (``cls``, ``links``) with the rows of partners in other classes, and edges (``a``, ``b``) that connect what is linked, all in the shared folder."""
+    slim = docs.where(F.col(id_col).isNotNull())
+    size = slim.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(2, math.ceil(size / (p.bucket_mb << 20)))
+    both = written(survivors(shared_tokens(occurrences(slim, buckets, p, id_col, text_col), buckets), buckets, p), "survivors")
+    known, alive = both.where("doc is not null").select("doc", "th", "cls", "size"), both.where("doc is null").select("cls", "size", "n", "grp", "need", "tok")
     pairs = written(candidate_groups(alive), "groups")
     weight = alive.groupBy("grp").agg(F.count("*").alias("n"), F.sum(F.length("tok")).alias("bytes"))
     one, two = (weight.select(F.col("grp").alias(f"g{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
@@ -276,28 +340,39 @@ def class_pairs(docs: DataFrame, p: JaccardParams, id_col: str, text_col: str) -
     t = p.threshold
 
     def verify(cell: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        links, edges = [], []
         for target, rows in cell.groupby("target", sort=False):
-            groups = {g: (own["cls"].tolist(), own["size"].tolist(), [np.sort(_unpack([x])) for x in own["tok"]]) for g, own in rows.groupby("grp", sort=False)}
+            groups = {g: (own["cls"].tolist(), own["size"].tolist(), [np.sort(_unpack([x])) for x in own["tok"]], own["n"].tolist()) for g, own in rows.groupby("grp", sort=False)}
             home = groups.pop(target)
-            out += open_groups(home, None, t)
-            for other in groups.values():
-                out += open_groups(other, home, t)
-        return pd.DataFrame([(min(a, b), max(a, b), j) for a, b, j in out], columns=["a", "b", "jaccard"])
+            for found in (open_groups(home, None, t), *(open_groups(other, home, t) for other in groups.values())):
+                links += found[0]
+                edges += found[1]
+        summed = pd.DataFrame(links, columns=["a", "links"], dtype="int64").groupby("a", as_index=False).sum()
+        return pd.concat([summed.assign(b=None), pd.DataFrame(edges, columns=["a", "b"], dtype="int64").assign(links=None)]).astype({"a": "int64", "b": "Int64", "links": "Int64"})
 
-    cells = sides.withColumn("cell", F.pmod(F.xxhash64("target"), F.lit(parts)).cast("int")).join(alive.select("grp", "cls", "size", "tok"), "grp")
-    return known, written(cells.groupBy("cell").applyInPandas(verify, "a long, b long, jaccard double"), "pairs")
+    cells = sides.withColumn("cell", F.pmod(F.xxhash64("target"), F.lit(parts)).cast("int")).join(alive.select("grp", "cls", "size", "n", "tok"), "grp")
+    found = written(cells.groupBy("cell").applyInPandas(verify, "a long, b long, links long"), "links")
+    return known, found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links")), found.where("b is not null").select("a", "b")
 
 
-def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(``doc_ids``, ``jaccard``): a list of all documents with equal sets (1.0), and the smallest ids of two classes whose sets reach the threshold.
+def _judged(docs: DataFrame, p: JaccardParams, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with an id, and for each class of equal sets its rows, links beyond it and the least (doc, th) of all that it is connected to."""
+    known, links, edges = linked_classes(docs, p, id_col, text_col)
+    own = known.where("size > 0").groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th")).alias("least"))
+    roots = components(edges).withColumnRenamed("node", "cls")
+    rooted = own.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    least_of = rooted.groupBy("root").agg(F.min("least").alias("keeper"))
+    return known, written(rooted.join(least_of, "root").join(links, "cls", "left").select("cls", "n", "keeper", F.coalesce("links", F.lit(0)).alias("links")), "classes")
 
-    All pairs follow: two documents are partners if one list holds both or their classes' smallest ids are listed together."""
-    known, pairs = class_pairs(docs, params, id_col, text_col)
-    lists = known.groupBy("cls").agg(F.min("doc").alias("rep"), F.count("*").alias("n"), F.sort_array(F.collect_list("doc")).alias("doc_ids"))
-    reps = known.groupBy("cls").agg(F.min("doc").alias("rep"))
-    near = pairs.join(reps.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b")
-    return lists.where("n > 1").select("doc_ids", F.lit(1.0).alias("jaccard")).unionByName(near.select(F.sort_array(F.array("x", "y")).alias("doc_ids"), F.round("jaccard", 6).alias("jaccard")))
+
+def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ``class_id``, ``links``) of every row: the smallest id of all that it is connected to by links, and the number of other rows whose sets reach the threshold."""
+    known, classes = _judged(docs, params, id_col, text_col)
+    linked = known.where("size > 0").join(classes, "cls").select(F.col("doc").alias(id_col), F.col("keeper.doc").alias("class_id"), (F.col("links") + F.col("n") - 1).alias("links"))
+    no = F.lit(0).cast("long").alias("links")
+    wordless = known.where("size = 0").select(F.col("doc").alias(id_col), F.col("doc").alias("class_id"), no)
+    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), no)
+    return linked.unionByName(wordless).unionByName(nameless)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -317,17 +392,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, with one row of each connected group of near copies."""
-    known, pairs = class_pairs(docs, params, id_col, text_col)
-    roots = components(pairs)
-    rows = known.groupBy("doc", "th", "cls").agg(F.count("*").alias("n"))
-    rooted = rows.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    first = F.row_number().over(Window.partitionBy("root").orderBy("doc", "th"))
-    judged = written(rooted.select("doc", "th", "n", first.alias("at")).where("at > 1 or n > 1"), "dropped")
-    gone = judged.where("at > 1").select(F.col("doc").alias("__doc"), F.col("th").alias("__th"))
+    """``docs``, all columns, with one row of each connected class of near copies."""
+    known, classes = _judged(docs, params, id_col, text_col)
+    rows = known.where("size > 0").groupBy("doc", "th", "cls").agg(F.count("*").alias("times"))
+    stays = (F.col("doc") == F.col("keeper.doc")) & (F.col("th") == F.col("keeper.th"))
+    judged = written(rows.join(classes.where("n > 1 or links > 0"), "cls").select("doc", "th", "times", stays.alias("stays")).where("not stays or times > 1"), "dropped")
+    gone = judged.where("not stays").select(F.col("doc").alias("__doc"), F.col("th").alias("__th"))
     out = docs.withColumn("__key", F.xxhash64(text_col))
-    out = out.join(gone, (F.col(id_col).cast("long") == F.col("__doc")) & (F.col("__key") == F.col("__th")), "left_anti")
-    if judged.where("at = 1 and n > 1").limit(1).count():  # equal rows: one of them stays
-        spaced = F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(F.lit(1)))
-        out = out.withColumn("__n", spaced).where(F.col("__n").eqNullSafe(1) | F.col(id_col).isNull() | ~F.coalesce(F.col(text_col).rlike(r"[\p{L}\p{N}_]"), F.lit(False)))
+    # what goes grows with the documents, so it is never broadcast, however few it is here
+    out = out.join(gone.hint("shuffle_hash"), (F.col(id_col).cast("long") == F.col("__doc")) & (F.col("__key") == F.col("__th")), "left_anti")
+    if judged.where("stays").limit(1).count():  # equal rows: one of them stays
+        spaced = F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(*(F.col(c) for c, kind in docs.dtypes if c not in (id_col, text_col) and not kind.startswith("map")) or [F.lit(1)]))
+        out = out.withColumn("__n", spaced).where(F.col("__n").eqNullSafe(1) | F.col(id_col).isNull() | ~F.coalesce(F.col(text_col).rlike(WORDS), F.lit(False)))
     return out.select(*docs.columns)
