@@ -218,30 +218,31 @@ def survivors(shared: DataFrame, buckets: int, p: JaccardParams) -> DataFrame:
 
 
 def prefixes(alive: DataFrame) -> DataFrame:
-    """The matrix as far as partners must touch it: (grp, token) of the members' rarest tokens."""
+    """The matrix as far as partners must touch it: (grp, token) of the members' rarest tokens, with the least need and the greatest size of the members that have it."""
 
     def run(batches):
         for b in batches:
-            grp, need = b.column(0).to_pylist(), b.column(1).to_pylist()
-            own: dict[int, list] = {}
-            for g, k, blob in zip(grp, need, b.column(2).to_pylist()):
-                t = _unpack([blob])
-                own.setdefault(g, []).append(t[: len(t) - k + 1])
-            union = {g: np.unique(np.concatenate(x)) for g, x in own.items()}
-            if union:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.fromiter(union, np.int64, len(union)), [len(x) for x in union.values()])), pa.array(np.concatenate(list(union.values())).astype(np.int64))], names=["grp", "token"])
+            need, size = (b.column(c).to_numpy().astype(np.int32) for c in (1, 2))
+            own = [t[: len(t) - k + 1] for t, k in zip((_unpack([x]) for x in b.column(3).to_pylist()), need.tolist())]
+            if not own:
+                continue
+            times = [len(t) for t in own]
+            tok, grp, need, size = np.concatenate(own), *(np.repeat(c, times) for c in (b.column(0).to_numpy(), need, size))
+            order = np.lexsort((tok, grp))
+            tok, grp, need, size = (c[order] for c in (tok, grp, need, size))
+            first = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (grp[1:] != grp[:-1])]))
+            yield pa.RecordBatch.from_arrays([pa.array(grp[first]), pa.array(tok[first].astype(np.int64)), pa.array(np.minimum.reduceat(need, first)), pa.array(np.maximum.reduceat(size, first))], names=["grp", "token", "need", "size"])
 
-    return alive.select("grp", "need", "tok").mapInArrow(run, "grp long, token long")
+    return alive.select("grp", "need", "size", "tok").mapInArrow(run, "grp long, token long, need int, size int")
 
 
 def candidate_groups(alive: DataFrame) -> DataFrame:
-    """Pairs of groups g1 <= g2 that can hold partners: they share a prefix token and their sizes are near enough."""
-    rows = prefixes(alive).distinct()
-    span = alive.groupBy("grp").agg(F.min("need").alias("need"), F.max("size").alias("size"), F.count("*").alias("n"))
-    matrix = rows.join(span.drop("n"), "grp")
-    one, two = (matrix.select("token", F.col("grp").alias(f"g{i}"), F.col("need").alias(f"need{i}"), F.col("size").alias(f"size{i}")) for i in (1, 2))
-    pairs = one.join(two, "token").where("g1 < g2 and size1 >= need2 and size2 >= need1").select("g1", "g2").distinct()
-    own = span.where("n > 1").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))
+    """Pairs of groups g1 <= g2 that can hold partners: members share a prefix token and their sizes are near enough."""
+    # partitioned by token once, for the aggregate and for both sides of the join
+    rows = prefixes(alive).repartition("token").groupBy("token", "grp").agg(F.min("need").alias("need"), F.max("size").alias("size"))
+    one, two = (rows.select("token", *(F.col(c).alias(f"{c}{i}") for c in ("grp", "need", "size"))) for i in (1, 2))
+    pairs = one.join(two.hint("merge"), "token").where("grp1 < grp2 and size1 >= need2 and size2 >= need1").select(F.col("grp1").alias("g1"), F.col("grp2").alias("g2")).distinct()
+    own = alive.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select(F.col("grp").alias("g1"), F.col("grp").alias("g2"))
     return pairs.unionByName(own)
 
 
