@@ -1,10 +1,28 @@
-"""Facts, the weighted graph made of them, and Personalized PageRank."""
+"""Facts, the weighted graph made of them, Personalized PageRank and graph search.
+
+Facts are rows (chunk, s, p, o); edges rows (src, dst, weight).
+
+Defined results: facts with a null subject or object make no edge, and mention only
+the other; null chunks mention nothing; equal facts of one chunk count each; empty
+tables give empty results.
+"""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from recallgrid.functions import scores
+from recallgrid.operators import ranking
+from recallgrid.sources.tables import written
+
+#: Up to so many edges are sent to every worker as arrays (20 bytes each); beyond, ranks and edges are joined.
+BROADCAST_EDGES = 2_000_000
+
 
 def fact_edges(facts: DataFrame) -> DataFrame:
     """Facts (chunk, s, p, o) -> (``src``, ``dst``, ``weight``): the number of facts between two entities, both ways."""
@@ -12,39 +30,170 @@ def fact_edges(facts: DataFrame) -> DataFrame:
     return ways.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
+def mentions(facts: DataFrame) -> DataFrame:
+    """Distinct (``entity``, ``chunk``)."""
+    return facts.select(F.explode(F.array("s", "o")).alias("entity"), "chunk").where("chunk is not null and entity is not null").distinct()
+
+
 def passage_edges(facts: DataFrame) -> DataFrame:
-    """Distinct (chunk, entity) of weight 1, both ways."""
-    one = facts.select("chunk", F.explode(F.array("s", "o")).alias("entity")).where("chunk is not null and entity is not null").distinct()
-    return one.select(F.col("chunk").alias("src"), F.col("entity").alias("dst"), F.lit(1.0).alias("weight")).unionByName(one.select(F.col("entity").alias("src"), F.col("chunk").alias("dst"), F.lit(1.0).alias("weight")))
+    """From every chunk to each of its entities, of weight 1."""
+    return mentions(facts).select(F.col("chunk").alias("src"), F.col("entity").alias("dst"), F.lit(1.0).alias("weight"))
+
+
+def graph_edges(facts: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """Edges of facts and passages, and synonym edges (src, dst, weight) where given; weights of equal edges add up."""
+    both = fact_edges(facts).unionByName(passage_edges(facts))
+    both = both.unionByName(synonyms.select("src", "dst", "weight")) if synonyms is not None else both
+    return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+
+
+def nodes(facts: DataFrame) -> DataFrame:
+    """(``name``, ``kind``): entities and chunks."""
+    entities = facts.select(F.explode(F.array("s", "o")).alias("name")).where("name is not null").distinct().withColumn("kind", F.lit("entity"))
+    return entities.unionByName(facts.select(F.col("chunk").alias("name")).where("name is not null").distinct().withColumn("kind", F.lit("chunk")))
+
+
+def new_facts(facts: DataFrame, known: DataFrame) -> DataFrame:
+    """The facts of chunks that aren't vertices (name) yet."""
+    return facts.join(known.select(F.col("name").alias("chunk")).distinct(), "chunk", "left_anti").select(*facts.columns)
+
+
+def valid_edges(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """The edges without self loops whose ends are both vertices (name)."""
+    names = known.select("name").distinct()
+    kept = edges.where("src <> dst")
+    for end in ("src", "dst"):
+        kept = kept.join(names.withColumnRenamed("name", end), end, "left_semi")
+    return kept.select(*edges.columns)
+
+
+def strong_edges(edges: DataFrame, least: float = 0.01) -> DataFrame:
+    return edges.where(F.col("weight") >= least)
+
 
+def degree_importance(edges: DataFrame) -> DataFrame:
+    """(``node``, ``degree``, ``importance``): out-edges, and their share of all."""
+    degree = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("degree"))
+    return degree.crossJoin(degree.agg(F.sum("degree").alias("__all"))).select("node", "degree", (F.col("degree") / (F.col("__all") + 1e-8)).alias("importance"))  # one row
 
-def graph_edges(facts: DataFrame) -> DataFrame:
-    return fact_edges(facts).unionByName(passage_edges(facts)).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
+def fact_chunks(facts: DataFrame) -> DataFrame:
+    """(s, p, o, chunk): in which chunks each fact, in plain form, stands; a row each, so that a fact of many chunks is no long list."""
+    from recallgrid.functions.text import plain
 
-def graph_info(facts: DataFrame) -> DataFrame:
-    """One row: entities, chunks, all nodes, distinct facts, edges."""
-    entities = facts.select(F.explode(F.array("s", "o")).alias("e")).where("e is not null")
-    return entities.agg(F.count_distinct("e").alias("entities")).crossJoin(facts.agg(F.count_distinct("chunk").alias("chunks"), F.count_distinct(F.struct("s", "p", "o")).alias("facts"))).crossJoin(graph_edges(facts).agg(F.count("*").alias("edges"))).withColumn("nodes", F.col("entities") + F.col("chunks"))
+    return facts.select(*(plain(F.col(c)).alias(c) for c in ("s", "p", "o")), "chunk").where("chunk is not null").distinct()
 
 
-def ppr(edges: DataFrame, reset: DataFrame, damping: float = 0.5, iterations: int = 20) -> DataFrame:
-    """(``node``, ``score``) after a fixed number of steps x' = (1 - d) r + d x P over weighted edges (src, dst, weight); ``reset``: (node, r).
+def graph_info(facts: DataFrame, synonyms: DataFrame | None = None) -> DataFrame:
+    """One row: phrase, passage and all nodes; distinct facts; edges that touch a passage; all other edges beyond the facts (negative where facts have no edge of their own); all edges."""
+    kinds = nodes(facts).agg(F.count_if(F.col("kind") == "entity").alias("phrase_nodes"), F.count_if(F.col("kind") == "chunk").alias("passage_nodes"))
+    stated = facts.agg(F.count_distinct(F.struct("s", "p", "o")).alias("extracted_triples"))
+    touching = passage_edges(facts).agg(F.count("*").alias("passage_triples"))
+    every = graph_edges(facts, synonyms).agg(F.count("*").alias("total_triples"))
+    one = kinds.crossJoin(stated).crossJoin(touching).crossJoin(every)  # one row each
+    return one.withColumn("total_nodes", F.col("phrase_nodes") + F.col("passage_nodes")).withColumn("synonym_triples", F.col("total_triples") - F.col("extracted_triples") - F.col("passage_triples"))
 
-    Edges are weighted and written once; lineage is cut every five steps by writing
-    the ranks to the folder in spark.checkpoint.dir.  Nodes without out-edges lose
-    their mass; parallel edges add up; negative or null weights are left out."""
-    from recallgrid.sources.tables import written
 
+def transitions(edges: DataFrame) -> DataFrame:
+    """(``src``, ``dst``, ``p``) of the undirected graph: parallel edges add up, whichever way; weights that are null or not positive are left out."""
     good = edges.where("weight > 0 and src is not null and dst is not null")
-    out = good.groupBy("src").agg(F.sum("weight").alias("total"))
-    steps = written(good.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p")), "steps")
-    r = reset.where("node is not null").groupBy("node").agg(F.sum("r").alias("r"))
-    start = r.select("node", (F.col("r") * (1 - damping)).alias("score"))
-    x = r.select("node", F.col("r").alias("score"))
-    for i in range(iterations):
-        moved = x.join(steps, x["node"] == steps["src"]).select(F.col("dst").alias("node"), (F.col("score") * F.col("p") * damping).alias("score"))
-        x = moved.unionByName(start).groupBy("node").agg(F.sum("score").alias("score"))
-        if i % 5 == 4:
+    both = good.select("src", "dst", "weight").unionByName(good.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    w = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    total = w.groupBy("src").agg(F.sum("weight").alias("total"))
+    return w.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
+
+
+def steps_for(tolerance: float, damping: float) -> int:
+    """Steps after which the ranks are off by no more than the tolerance in sum: each step shrinks the rest by the damping."""
+    return max(1, math.ceil(math.log(tolerance) / math.log(damping)))
+
+
+def ppr(edges: DataFrame, reset: DataFrame, damping: float = 0.5, tolerance: float = 1e-6, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
+    """(``query_id``, ``node``, ``score``) of all queries at once over the undirected weighted graph; scores of a query sum to 1.
+
+    ``reset``: (query_id, node, r).  Null, NaN and negative weights count as 0, repeated nodes add up, and each query's
+    weights are scaled to sum to 1; a query without any weight has no rows.  What nodes without edges hold goes back to the reset.  Nodes of score 0 have no row."""
+    p = written(transitions(edges), "steps")
+    guarded = reset.where("node is not null").select("query_id", "node", scores.guarded(F.col("r").cast("double")).alias("r")).where("r > 0").groupBy("query_id", "node").agg(F.sum("r").alias("r"))
+    total = guarded.groupBy("query_id").agg(F.sum("r").alias("__all"))
+    r = written(guarded.join(total, "query_id").select("query_id", "node", (F.col("r") / F.col("__all")).alias("r")), "reset")
+    n = steps_for(tolerance, damping)
+    found = _ppr_arrays(p, r, damping, n) if p.count() <= broadcast_edges else _ppr_joins(p, r, damping, n)
+    # a reset node without edges returns its mass, of which it gets its share again, and so on
+    lonely = r.join(p.select(F.col("src").alias("node")).distinct(), "node", "left_anti").groupBy("query_id").agg(F.sum("r").alias("__lonely"))
+    scale = 1 / (1 - damping * F.coalesce("__lonely", F.lit(0.0)))
+    return found.join(lonely, "query_id", "left").select("query_id", "node", (F.col("score") * scale).alias("score"))
+
+
+def _ppr_arrays(p: DataFrame, r: DataFrame, damping: float, n: int) -> DataFrame:
+    """Every query by itself on the arrays of the graph."""
+    rows = p.toPandas()
+    names, at = np.unique(np.concatenate([rows["src"].to_numpy(object), rows["dst"].to_numpy(object)]).astype(object), return_inverse=True) if len(rows) else (np.zeros(0, object), np.zeros(0, np.int64))
+    src, dst = at[: len(rows)].astype(np.int32), at[len(rows) :].astype(np.int32)
+    shared = r.sparkSession.sparkContext.broadcast((names, src, dst, rows["p"].to_numpy(float)))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        names, src, dst, prob = shared.value
+        query, asked = own["query_id"].iloc[0], own["node"].to_numpy(object)
+        place = np.searchsorted(names, asked) if len(names) else np.zeros(len(asked), np.int64)
+        known = np.array([i < len(names) and names[i] == a for i, a in zip(place.tolist(), asked)], bool)
+        start = np.zeros(len(names))
+        start[place[known]] = own["r"].to_numpy(float)[known]
+        x = start.copy()
+        for _ in range(n):
+            x = (1 - damping) * start + damping * np.bincount(dst, x[src] * prob, len(names))
+        some = np.flatnonzero(x > 0)
+        alone = pd.DataFrame({"node": asked[~known], "score": own["r"].to_numpy(float)[~known] * (1 - damping)})
+        out = pd.concat([pd.DataFrame({"node": names[some], "score": x[some]}), alone]) if len(alone) else pd.DataFrame({"node": names[some], "score": x[some]})
+        return out.assign(query_id=query)[["query_id", "node", "score"]]
+
+    kind, node = (r.schema[c].dataType.simpleString() for c in ("query_id", "node"))
+    return r.groupBy("query_id").applyInPandas(run, f"query_id {kind}, node {node}, score double")
+
+
+def _ppr_joins(p: DataFrame, r: DataFrame, damping: float, n: int) -> DataFrame:
+    """A join and an aggregate a step; the edges are partitioned and kept once, lineage is cut every five steps."""
+    steps = p.repartition("src").persist()
+    start = r.select("query_id", "node", (F.col("r") * (1 - damping)).alias("score"))
+    x = r.select("query_id", "node", F.col("r").alias("score"))
+    for i in range(1, n + 1):
+        moved = x.join(steps, x["node"] == steps["src"]).select("query_id", F.col("dst").alias("node"), (F.col("score") * F.col("p") * damping).alias("score"))
+        x = moved.unionByName(start).groupBy("query_id", "node").agg(F.sum("score").alias("score"))
+        if i % 5 == 0 or i == n:
             x = written(x, "ranks")
+    steps.unpersist()
     return x
+
+
+def phrase_weights(selected: DataFrame, mentioned: DataFrame, most: int = 5) -> DataFrame:
+    """(``query_id``, ``node``, ``r``) of the ``most`` best phrases of each query.
+
+    ``selected``: (query_id, s, o, score).  Each occurrence of a phrase as subject or object counts the fact's score over
+    the number of chunks that mention it (phrases that aren't in the graph are skipped); a phrase weighs their mean."""
+    counts = mentioned.groupBy("entity").agg(F.count("*").alias("chunks"))
+    each = selected.select("query_id", F.explode(F.array("s", "o")).alias("entity"), "score").where("entity is not null")
+    mean = each.join(counts, "entity").groupBy("query_id", "entity").agg(F.avg(F.col("score") / F.col("chunks")).alias("r"))
+    return ranking.top_each(mean, most, "r", "entity").select("query_id", F.col("entity").alias("node"), "r")
+
+
+def graph_search(facts: DataFrame, edges: DataFrame, fact_scores: DataFrame, passage_scores: DataFrame, density: DataFrame, link_top_k: int = 5, most: int = 100, damping: float = 0.5) -> DataFrame:
+    """(``query_id``, ``id``, ``rank``, ``score``, ``path``): every passage of each query.
+
+    ``fact_scores``: (query_id, s, p, o, score) and ``passage_scores``: (query_id, id, score), each scaled to 0..1 within
+    a query here; ``density``: (id, density).  The best facts weigh their phrases and, by their mean score, the passages;
+    PageRank from both ranks the passages, of which the first ``most`` are ranked anew by evidence (``path`` graph).
+    Queries whose facts are too weak get the passages by their own scores (``path`` dense); passages that PageRank doesn't reach score 0."""
+    scaled = scores.minmax_by(fact_scores.withColumn("id", F.concat_ws("|", "s", "p", "o")), "score", "__s", "query_id").drop("score").withColumnRenamed("__s", "score")
+    best = written(ranking.top_each(scaled, link_top_k), "linked")
+    dense = written(scores.minmax_by(passage_scores.select("query_id", "id", "score"), "score", "__s", "query_id").select("query_id", "id", F.col("__s").alias("score")), "dense")
+    judged = passage_scores.select("query_id").distinct().join(best.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("score").alias("mean")), "query_id", "left")
+    weak = scores.needs_fallback(F.coalesce("n", F.lit(0)), F.coalesce("mean", F.lit(0.0)), F.lit(1.0))
+    judged = written(judged.select("query_id", weak.alias("weak"), scores.adaptive_weight(F.coalesce("mean", F.lit(0.0)), F.lit(0.5), F.lit(0.5)).alias("share")), "judged")
+    strong = judged.where("not weak").drop("weak")
+    phrases = phrase_weights(best.join(strong.select("query_id"), "query_id", "left_semi"), mentions(facts), link_top_k)
+    passages = dense.join(strong, "query_id").select("query_id", F.col("id").alias("node"), (F.col("score") * F.col("share")).alias("r"))
+    reached = ppr(edges, phrases.unionByName(passages), damping).withColumnRenamed("node", "id")
+    every = dense.join(strong.select("query_id"), "query_id", "left_semi").select("query_id", "id").join(reached, ["query_id", "id"], "left").select("query_id", "id", F.round(F.coalesce("score", F.lit(0.0)), 9).alias("score"))
+    found = ranking.evidence_rerank(ranking.ranked(every), density, most).withColumn("path", F.lit("graph"))
+    other = ranking.ranked(dense.join(judged.where("weak").select("query_id"), "query_id", "left_semi")).select("query_id", "id", "rank", "score").withColumn("path", F.lit("dense"))
+    return found.unionByName(other)

@@ -1,8 +1,13 @@
-"""Retrieval and answer metrics."""
+"""Retrieval and answer metrics.
+
+Defined results: queries without gold have recall 0, answers without gold or
+prediction score 0; repeated gold items count once; null predictions count as empty;
+an empty table has no rows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallgrid.functions.text import normalised_answer
@@ -14,13 +19,72 @@ def recall_at(k: int, found: Column, gold: Column) -> Column:
     return F.when(F.size(g) == 0, 0.0).otherwise(F.size(F.array_intersect(F.slice(found, 1, k), g)) / F.size(g))
 
 
+def recalls(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 5, 10, 20)) -> DataFrame:
+    """(query_id, ``k``, ``recall``) from rankings (query_id, id, rank) and gold (query_id, id): hits are joined, no list is built."""
+    want = gold.where("id is not null").distinct()
+    queries = ranking.select("query_id").union(gold.select("query_id")).distinct()
+    n = want.groupBy("query_id").agg(F.count("*").alias("n"))
+    hits = ranking.where(F.col("rank") <= max(ks)).join(want, ["query_id", "id"]).groupBy("query_id", "id").agg(F.min("rank").alias("rank"))
+    hits = hits.groupBy("query_id").agg(*(F.count_if(F.col("rank") <= k).alias(f"h{k}") for k in ks))
+    both = queries.join(n, "query_id", "left").join(hits, "query_id", "left")
+    share = [F.struct(F.lit(k).alias("k"), F.when(F.col("n") > 0, F.coalesce(f"h{k}", F.lit(0)) / F.col("n")).otherwise(0.0).alias("recall")) for k in ks]
+    return both.select("query_id", F.inline(F.array(*share)))
+
+
+def mean_recalls(per_query: DataFrame) -> DataFrame:
+    """(``k``, ``recall``) over all queries, rounded to 4."""
+    return per_query.groupBy("k").agg(F.round(F.avg("recall"), 4).alias("recall"))
+
+
 def exact_match(predicted: Column, gold: Column) -> Column:
     return F.coalesce((normalised_answer(predicted) == normalised_answer(gold)).cast("double"), F.lit(0.0))
 
 
-def token_f1(predicted: Column, gold: Column) -> Column:
-    """F1 of the multisets of normalised tokens; 0 without overlap."""
-    p, g = (F.filter(F.split(normalised_answer(c), " "), lambda x: x != "") for c in (predicted, gold))
-    times = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    same = F.aggregate(F.array_intersect(p, g), F.lit(0), lambda n, x: n + F.least(times(p, x), times(g, x)))
-    return F.when(same > 0, 2.0 * same / (F.size(p) + F.size(g))).otherwise(0.0)
+def answer_scores(answers: DataFrame, *keys: str) -> DataFrame:
+    """(keys, ``em``, ``f1``): the best over the gold answers of a query, from rows (keys, predicted, gold), one a gold answer.
+
+    F1 is that of the multisets of normalised words, 0 without a common one; words are counted by aggregates."""
+    each = answers.select(*keys, "predicted", "gold").withColumns({"__p": normalised_answer(F.coalesce("predicted", F.lit(""))), "__g": normalised_answer(F.coalesce("gold", F.lit("")))}).withColumn("__em", (F.col("__p") == F.col("__g")) & F.col("gold").isNotNull())
+    each = each.select(*keys, "__em", "__p", "__g").distinct()
+    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    staged = each.withColumns({"__pw": words("__p"), "__gw": words("__g")}).withColumns({"__np": F.size("__pw"), "__ng": F.size("__gw")})
+    side = lambda c, s: staged.select(*keys, "__p", "__g", F.explode(c).alias("__w"), F.lit(s).alias("__s"))
+    both = side("__pw", 1).unionByName(side("__gw", 0)).groupBy(*keys, "__p", "__g", "__w").agg(F.least(F.sum("__s"), F.sum(1 - F.col("__s"))).alias("n"))
+    same = both.groupBy(*keys, "__p", "__g").agg(F.sum("n").alias("same"))
+    names = (*keys, "__p", "__g")
+    renamed = same.select(*(F.col(c).alias(f"__r{i}") for i, c in enumerate(names)), "same")
+    on = F.lit(True)
+    for i, c in enumerate(names):
+        on = on & F.col(c).eqNullSafe(F.col(f"__r{i}"))
+    f1 = F.when(F.col("same") > 0, 2.0 * F.col("same") / (F.col("__np") + F.col("__ng"))).otherwise(0.0)
+    joined = staged.join(renamed, on, "left").withColumn("__f1", f1)
+    return joined.groupBy(*keys).agg(F.max(F.col("__em").cast("double")).alias("em"), F.max("__f1").alias("f1"))
+
+
+def mean_scores(per_query: DataFrame) -> DataFrame:
+    """One row: ``em`` and ``f1`` over all queries, rounded to 4."""
+    return per_query.agg(F.round(F.avg("em"), 4).alias("em"), F.round(F.avg("f1"), 4).alias("f1"))
+
+
+def metric_stats(df: DataFrame, by: str, value: str) -> DataFrame:
+    """(``by``, ``n``, ``mean``, ``std`` of the population, ``low``, ``high``, ``total``)."""
+    v = F.col(value)
+    return df.groupBy(by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.min(v).alias("low"), F.max(v).alias("high"), F.sum(v).alias("total"))
+
+
+def cache_stats(lookups: DataFrame, by: str) -> DataFrame:
+    """(``by``, ``hits``, ``misses``, ``hit_rate``) from rows (by, hit); rate 0 without lookups."""
+    hits, n = F.count_if(F.col("hit")), F.count("hit")
+    return lookups.groupBy(by).agg(hits.alias("hits"), (n - hits).alias("misses"), F.when(n > 0, hits / n).otherwise(0.0).alias("hit_rate"))
+
+
+def latest(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last row of each key by ``order``: what a cache holds after all puts."""
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__x")).select(key, *(F.col(f"__x.{c}").alias(c) for c in rest))
+
+
+def unexpired(cache: DataFrame, now: Column, stored: str = "ts", ttl: str = "ttl") -> DataFrame:
+    """What is left when the entries past their time to live (seconds, null for ever) are cleared."""
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col(stored).cast("timestamp"))) / 1e6
+    return cache.where(F.col(ttl).isNull() | (age <= F.col(ttl)))

@@ -1,12 +1,20 @@
-"""Vector operators: normalisation and the exact top-k similarity join."""
+"""Vector operators: normalisation, exact and approximate top-k similarity joins.
+
+Defined results: null vectors, and vectors with a null or NaN element, have no
+partners on either side; zero vectors score 0 by cosine; vectors of another
+dimension than the first key's are an error; equal ids are kept apart as rows;
+ties go to the smaller id; k beyond the number of keys gives all keys.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Queries of up to so many bytes are sent to every worker; beyond, queries and keys are paired in blocks.
+BROADCAST_BYTES = 128 << 20
 BLOCK_ROWS = 4096
 
 
@@ -16,35 +24,190 @@ def l2_normalised(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(norm < 1e-10, 0.0).otherwise(x / norm))
 
 
-def knn_join(queries: DataFrame, keys: DataFrame, k: int, least: float | None = None, exclude_self: bool = False, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """(``query_id``, ``rank``, ``key_id``, ``score``): the k keys of highest cosine for every query, ties to the smaller id.
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
-    Both sides are packed into blocks; every pair of blocks is one matrix product,
-    and only k rows a query and block reach the final window.  Null vectors have no
-    partners, and zero vectors score 0."""
-    n = max(1, queries.count() // BLOCK_ROWS), max(1, keys.count() // BLOCK_ROWS)
 
-    def packed(df: DataFrame, blocks: int, side: str) -> DataFrame:
-        slim = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id is not null and v is not null")
-        return slim.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias(side)).drop("b")
+def sparse_dot(df: DataFrame, other: DataFrame, by: str) -> DataFrame:
+    """(``by``, ``dot``) of sparse vectors in rows (by, pos, value); 0 where no position is shared, repeated positions add up."""
+    one, two = (x.groupBy(by, "pos").agg(F.sum("value").alias(v)) for x, v in ((df, "__a"), (other, "__b")))
+    every = df.select(by).distinct().join(other.select(by).distinct(), by)
+    return every.join(one.join(two, [by, "pos"]).groupBy(by).agg(F.sum(F.col("__a") * F.col("__b")).alias("dot")), by, "left").select(by, F.coalesce("dot", F.lit(0.0)).alias("dot"))
 
-    pairs = packed(queries, n[0], "q").crossJoin(packed(keys, n[1], "x")).repartition(n[0] * n[1])
 
-    def run(batches):
-        for df in batches:
-            for q, x in zip(df["q"], df["x"]):
-                qi, xi = np.array([r["id"] for r in q]), np.array([r["id"] for r in x])
-                qv, xv = (np.array([np.asarray(r["v"], float) for r in s]) for s in (q, x))
-                qv, xv = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10) for m in (qv, xv))
-                s = np.round(qv @ xv.T, 6)
-                if exclude_self:
-                    s[qi[:, None] == xi[None, :]] = -np.inf
-                for i, row in enumerate(s):
-                    bar = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
-                    at = np.flatnonzero(row >= max(bar, -2.0 if least is None else least))
-                    at = at[np.lexsort((xi[at], -row[at]))][:k]
-                    yield pd.DataFrame({"query_id": qi[i], "key_id": xi[at], "score": row[at]})
-
-    each = pairs.mapInPandas(run, "query_id long, key_id long, score double")
+def mean_pooled(tokens: DataFrame, by: str) -> DataFrame:
+    """(``by``, ``pos``, ``value``): the mean of token vectors in rows (by, pos, value, mask) over the tokens of mask 1."""
+    return tokens.where("mask = 1").groupBy(by, "pos").agg(F.avg("value").alias("value"))
+
+
+def _usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    v = F.col(vec_col).cast("array<double>")
+    slim = df.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
+    return slim.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """An Arrow column of lists of one length as rows."""
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    n = len(lists)
+    if not n:
+        return np.zeros((0, 0))
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) % n or set(np.diff(lists.offsets.to_numpy()).tolist()) != {len(flat) // n}:
+        raise ValueError("vectors of unequal length")
+    return flat.reshape(n, -1)
+
+
+def _unit(m: np.ndarray, metric: str) -> np.ndarray:
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-10) if metric == "cosine" else m
+
+
+def _scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    s = q @ x.T
+    if metric == "l2":
+        d = np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * s, 0)
+        s = 1 / (1 + np.sqrt(d))
+    return np.round(s, 6)
+
+
+class _Best:
+    """The k best keys so far of every query."""
+
+    def __init__(self, qi: np.ndarray, k: int, least: float | None, exclude_self: bool):
+        self.qi, self.k, self.least, self.exclude_self = qi, k, least, exclude_self
+        self.found: list[tuple] = []
+
+    def take(self, s: np.ndarray, xi: np.ndarray) -> None:
+        if self.exclude_self:
+            s = np.where(self.qi[:, None] == xi[None, :], -np.inf, s)
+        bar = np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k] if s.shape[1] > self.k else np.full(len(s), -np.inf)
+        row, col = np.nonzero((s >= np.maximum(bar, -np.inf if self.least is None else self.least)[:, None]) & (s > -np.inf))
+        self.found.append((row, xi[col], s[row, col]))
+        if sum(len(f[0]) for f in self.found) > 4 * self.k * len(self.qi) + 1_000_000:
+            self.found = [self.best()]
+
+    def best(self) -> tuple:
+        row, key, score = (np.concatenate(c) for c in zip(*self.found)) if self.found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((key, -score, row))
+        row, key, score = row[order], key[order], score[order]
+        begin = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - begin < self.k
+        return row[keep], key[keep], score[keep]
+
+    def batch(self) -> pa.RecordBatch:
+        row, key, score = self.best()
+        return pa.RecordBatch.from_arrays([pa.array(self.qi[row]), pa.array(key), pa.array(score)], names=["query_id", "key_id", "score"])
+
+
+def knn_join(queries: DataFrame, keys: DataFrame, k: int, least: float | None = None, exclude_self: bool = False, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "cosine", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(``query_id``, ``rank``, ``key_id``, ``score``): the k keys of the highest score for every query.
+
+    Every worker scores its keys against all queries, a matrix product a batch, and hands on k rows a query; queries
+    too large for that are paired with the keys block by block.  ``metric``: cosine, ip, or l2 (1 / (1 + distance))."""
+    q, x = _usable(queries, id_col, vec_col), _usable(keys, id_col, vec_col)
+    n, width = q.agg(F.count("*"), F.max(F.size("v"))).first()
+    out = "query_id long, key_id long, score double"
+    if 8 * n * (width or 0) <= broadcast_bytes:
+        rows = q.orderBy("id").toArrow()  # no more than broadcast_bytes
+        shared = q.sparkSession.sparkContext.broadcast((rows.column("id").to_numpy(), _unit(_matrix(rows.column("v")), metric)))
+
+        def run(batches):
+            qi, qv = shared.value
+            best = _Best(qi, k, least, exclude_self)
+            step = max(1, 4_000_000 // max(1, len(qi)))
+            for b in batches:
+                for at in range(0, b.num_rows if len(qi) else 0, step):
+                    part = b.slice(at, step)
+                    best.take(_scores(qv, _unit(_matrix(part.column(1)), metric), metric), part.column(0).to_numpy())
+            yield best.batch()
+
+        parts = x.sparkSession.sparkContext.defaultParallelism
+        each = x.repartition(parts, "id").mapInArrow(run, out) if x.rdd.getNumPartitions() < parts else x.mapInArrow(run, out)
+    else:
+        each = _in_blocks(q, x, k, least, exclude_self, metric, out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "key_id", "score")
+
+
+def _in_blocks(q: DataFrame, x: DataFrame, k: int, least, exclude_self: bool, metric: str, out: str) -> DataFrame:
+    """All pairs of blocks of ``BLOCK_ROWS`` vectors, a matrix product each."""
+
+    def packed(df: DataFrame, side: str) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                for at in range(0, b.num_rows, BLOCK_ROWS):
+                    part = b.slice(at, BLOCK_ROWS)
+                    m = _matrix(part.column(1))
+                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype(np.int64).tobytes()]), pa.array([m.tobytes()])], names=[f"{side}i", f"{side}v"])
+
+        return df.mapInArrow(run, f"{side}i binary, {side}v binary")
+
+    def run(batches):
+        for b in batches:
+            for qi, qv, xi, xv in zip(*(c.to_pylist() for c in b.columns)):
+                qi, xi = np.frombuffer(qi, np.int64), np.frombuffer(xi, np.int64)
+                best = _Best(qi, k, least, exclude_self)
+                best.take(_scores(*(_unit(np.frombuffer(v).reshape(len(i), -1), metric) for i, v in ((qi, qv), (xi, xv))), metric), xi)
+                yield best.batch()
+
+    return packed(q, "q").crossJoin(packed(x, "x")).select("qi", "qv", "xi", "xv").mapInArrow(run, out)
+
+
+def search(queries: DataFrame, store: DataFrame, k: int, filters: dict | None = None, least: float | None = None, id_col: str = "vec_id", vec_col: str = "embedding", metric: str = "cosine") -> DataFrame:
+    """Top k of the rows whose columns equal ``filters``; the filter comes first, so k rows are found where there are k."""
+    for c, value in (filters or {}).items():
+        store = store.where(F.col(c).eqNullSafe(F.lit(value)))
+    return knn_join(queries, store, k, least, id_col=id_col, vec_col=vec_col, metric=metric)
+
+
+def planes(tables: int, bits: int, width: int) -> np.ndarray:
+    """Hyperplanes (tables, bits, width) by a formula that SQL can repeat."""
+    t, b, w = np.ogrid[:tables, :bits, :width]
+    return ((t * 7919 + b * 104729 + w * 1299709 + 12345) * 48271 % 2147483647 % 10007) / 5003.0 - 1.0
+
+
+def signatures(df: DataFrame, tables: int, bits: int, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(``id``, ``tab``, ``sig``): on which sides of each table's planes a vector lies (on a plane counts as below)."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            m = _matrix(b.column(1))
+            up = np.einsum("nw,tbw->ntb", m, planes(tables, bits, m.shape[1])) > 0
+            sig = (up * (1 << np.arange(bits, dtype=np.int64))).sum(2)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), tables)), pa.array(np.tile(np.arange(tables, dtype=np.int32), b.num_rows)), pa.array(sig.ravel())], names=["id", "tab", "sig"])
+
+    return _usable(df, id_col, vec_col).mapInArrow(run, "id long, tab int, sig long")
+
+
+def lsh_join(queries: DataFrame, keys: DataFrame, k: int, tables: int = 8, bits: int = 16, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Like :func:`knn_join` by cosine, among the keys that share a signature with the query in any table; queries without such a key are answered exactly."""
+    q, x = _usable(queries, id_col, vec_col), _usable(keys, id_col, vec_col)
+    one = signatures(queries, tables, bits, id_col, vec_col).withColumnRenamed("id", "query_id")
+    two = signatures(keys, tables, bits, id_col, vec_col).withColumnRenamed("id", "key_id")
+    pairs = one.join(two, ["tab", "sig"]).select("query_id", "key_id").distinct()
+    a, b = F.col("__q"), F.col("__x")
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    near = pairs.join(q.select(F.col("id").alias("query_id"), F.col("v").alias("__q")), "query_id").join(x.select(F.col("id").alias("key_id"), F.col("v").alias("__x")), "key_id")
+    near = near.select("query_id", "key_id", F.round(F.when(norm < 1e-10, 0.0).otherwise(dot(a, b) / norm), 6).alias("score"))
+    lonely = q.join(pairs.select(F.col("query_id").alias("id")).distinct(), "id", "left_anti")
+    flat = knn_join(lonely, x, k, id_col="id", vec_col="v").select("query_id", "key_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "key_id"))
+    return near.unionByName(flat).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "key_id", "score")
+
+
+def two_step_join(queries: DataFrame, keys: DataFrame, k: int, coarse_k: int = 100, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """The ``coarse_k`` keys of the highest dot product, and of these the k best."""
+    coarse = knn_join(queries, keys, max(k, coarse_k), id_col=id_col, vec_col=vec_col, metric="ip")
+    return coarse.where(F.col("rank") <= k)
+
+
+def synonym_edges(entities: DataFrame, k: int = 101, least: float = 0.8, text_col: str | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(``src``, ``dst``, ``weight``): for every entity its up to ``k`` neighbours of at least ``least``, itself left out; with
+    ``text_col``, entities of two or fewer ASCII letters and digits don't ask, and empty phrases are no partners."""
+    asking, asked = entities, entities
+    if text_col:
+        asking = entities.where(F.length(F.regexp_replace(text_col, "[^A-Za-z0-9]", "")) > 2)
+        asked = entities.where(F.col(text_col) != "")
+    return knn_join(asking, asked, k, least, exclude_self=True, id_col=id_col, vec_col=vec_col).select(F.col("query_id").alias("src"), F.col("key_id").alias("dst"), F.col("score").alias("weight"))

@@ -1,29 +1,134 @@
-"""Access-frequency memory, in batch and as a stream."""
+"""Access-frequency memory, in batch and as a stream.
+
+Items (nodes or edges) are made by their first event and live by their accesses.
+Defined results: null items and times are left out; equal events count each; an
+empty log has no items.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallgrid.functions.text import summary
+
+
+@dataclass(frozen=True)
+class MemoryParams:
+    forget_below: float = 0.1
+    compress_below: float = 0.3
+    boost: float = 1.5
+    max_nodes: int = 10_000
+    max_edges: int = 50_000
+    protected: float = 0.8
+    base_coefficient: float = 0.1
+    max_coefficient: float = 0.9
+
+
+def totals(events: DataFrame, item: str = "user_id", ts: str = "ts") -> DataFrame:
+    """(``node``, ``accesses``, ``first_ts``, ``last_ts``); works on batch and streaming frames alike."""
+    return events.where(F.col(item).isNotNull() & F.col(ts).isNotNull()).groupBy(F.col(item).alias("node")).agg(F.count("*").alias("accesses"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))
+
+
+def frequency(accesses: Column, total: Column, age_s: Column) -> Column:
+    """Accesses an hour of age, relative to all accesses, 1 at most; an age of 0 counts as a second; 0 without any access."""
+    age = F.when(age_s == 0, 1.0).otherwise(age_s)
+    return F.when(total == 0, 0.0).otherwise(F.least(F.lit(1.0), accesses / (total * age / 3600)))
+
+
+def state(f: Column, p: MemoryParams = MemoryParams()) -> Column:
+    """Where pruning puts an active item."""
+    return F.when(f < p.forget_below, "forgotten").when(f < p.compress_below, "compressed").otherwise("active")
+
+
+def memory_states(events: DataFrame, item: str = "user_id", p: MemoryParams = MemoryParams()) -> DataFrame:
+    """(``node``, ``accesses``, ``last_ts``, ``frequency``, ``state``) when pruned at the time of the last event."""
+    t = totals(events, item)
+    every = t.agg(F.sum("accesses").alias("total"), F.max("last_ts").alias("now"))  # one row
+    age = (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp"))) / 1e6
+    f = F.round(frequency(F.col("accesses"), F.col("total"), age), 9)
+    return t.crossJoin(every).withColumn("frequency", f).select("node", "accesses", "last_ts", "frequency", state(F.col("frequency"), p).alias("state"))
+
+
+def reactivated(states: DataFrame, later: DataFrame, item: str = "user_id", p: MemoryParams = MemoryParams()) -> DataFrame:
+    """(``node``, ``state``, ``weight``) after more events: forgotten nodes that are accessed come back, heavier; new nodes are active."""
+    seen = later.where(F.col(item).isNotNull()).select(F.col(item).alias("node")).distinct().withColumn("__seen", F.lit(True))
+    back = (F.col("state") == "forgotten") & F.col("__seen").isNotNull()
+    return states.select("node", "state").join(seen, "node", "full_outer").select("node", F.when(back, "reactivated").otherwise(F.coalesce("state", F.lit("active"))).alias("state"), F.when(back, p.boost).otherwise(1.0).alias("weight"))
+
+
+def coefficient(nodes: Column, edges: Column, p: MemoryParams = MemoryParams()) -> Column:
+    """How readily a memory of so many nodes and edges forgets."""
+    full = F.greatest(nodes / p.max_nodes, edges / p.max_edges)
+    return F.least(F.lit(p.max_coefficient), p.base_coefficient + (p.max_coefficient - p.base_coefficient) * full)
+
+
+def crowded(nodes: Column, edges: Column, p: MemoryParams = MemoryParams()) -> Column:
+    """Whether adding must be followed by pruning."""
+    return F.greatest(nodes / p.max_nodes, edges / p.max_edges) > p.protected
+
+
+def memory_stats(nodes: DataFrame, edges: DataFrame, p: MemoryParams = MemoryParams()) -> DataFrame:
+    """One row: nodes by state, edges, all accesses, the coefficient and whether it is crowded."""
+    n = nodes.agg(F.count("*").alias("nodes"), *(F.count_if(F.col("state") == s).alias(s) for s in ("active", "compressed", "forgotten", "reactivated")), F.coalesce(F.sum("accesses"), F.lit(0)).alias("accesses"))
+    both = n.crossJoin(edges.agg(F.count("*").alias("edges")))
+    return both.withColumn("coefficient", coefficient(F.col("nodes"), F.col("edges"), p)).withColumn("crowded", crowded(F.col("nodes"), F.col("edges"), p))
+
+
+def evicted(states: DataFrame, capacity: int) -> DataFrame:
+    """The nodes that go when there are more than ``capacity``: forgotten ones, the longest unused first (ties: the smaller node)."""
+    over = max(0, states.count() - capacity)
+    return states.where("state = 'forgotten'").orderBy("last_ts", "node").limit(over)
+
+
+def active(states: DataFrame) -> DataFrame:
+    return states.where(F.col("state").isin("active", "reactivated"))
+
+
+def search(nodes: DataFrame, queries: DataFrame, k: int = 10, include_forgotten: bool = False) -> DataFrame:
+    """(``query_id``, ``rank``, ``node``, ``score``): nodes (node, content, weight, state, optional ``tag`` and ``similarity_<query>`` left to the
+    caller) for queries (query_id, query): the weight, doubled where the content holds the query, else times 1 and the share of its
+    words that it holds; half as much again where the tag holds the query.  A stated set of queries against all nodes."""
+    usable = nodes if include_forgotten else nodes.where("state <> 'forgotten'")
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""))
+    q = queries.where("query is not null").select("query_id", F.lower("query").alias("__q"), words(F.col("query")).alias("__qw"))
+    x = usable.select("node", "weight", F.lower(F.coalesce("content", F.lit(""))).alias("__c"), words(F.coalesce("content", F.lit(""))).alias("__cw"), (F.lower("tag") if "tag" in usable.columns else F.lit(None).cast("string")).alias("__t"))
+    n = F.size(F.array_intersect("__qw", "__cw"))
+    score = F.col("weight") * F.when(F.contains("__c", "__q"), 2.0).otherwise(1.0 + n / F.greatest(F.size("__qw"), F.lit(1))) * F.when(F.contains("__t", "__q"), 1.5).otherwise(1.0)
+    each = x.crossJoin(q).select("query_id", "node", F.round(score, 6).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "node", "score")
 
-def totals(events: DataFrame) -> DataFrame:
-    """Accesses of each node with the first and last time; works on batch and streaming frames alike."""
-    return events.where(F.col("user_id").isNotNull()).groupBy(F.col("user_id").alias("node")).agg(F.count("*").alias("accesses"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
+def with_summary(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``compressed_content`` where the state is compressed."""
+    return nodes.withColumn("compressed_content", F.when(F.col("state") == "compressed", summary(F.col("content"))))
 
-def state(frequency: Column, low: float = 0.1, high: float = 0.3) -> Column:
-    return F.when(frequency < low, "forgotten").when(frequency < high, "compressed").otherwise("active")
 
+def stream_totals(events: DataFrame, path: str, checkpoint: str, item: str = "user_id", ts: str = "ts"):
+    """A streaming query that keeps accesses, first and last time of each item as keyed state, and appends what changed in each batch to
+    Parquet (``batch`` numbers them): the state holds a row an item, the driver none."""
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        n, first, last = state.get if state.exists else (0, None, None)
+        for df in parts:
+            n += len(df)
+            low, high = df["us"].min(), df["us"].max()
+            first, last = int(low if first is None else min(first, low)), int(high if last is None else max(last, high))
+        state.update((n, first, last))
+        yield pd.DataFrame({"node": [key[0]], "accesses": [n], "first_us": [first], "last_us": [last]})
 
-def memory_states(events: DataFrame) -> DataFrame:
-    """Per node its accesses for each hour of age, relative to the mean of all nodes (1 at most), and the state that follows."""
-    t = totals(events)
-    mean = t.agg(F.avg("accesses").alias("mean"), F.max("last_ts").alias("now"))
-    age = F.greatest(F.lit(1.0), (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("first_ts").cast("timestamp"))) / 3.6e9)
-    freq = F.round(F.least(F.lit(1.0), F.col("accesses") / (F.col("mean") * age)), 6)
-    return t.crossJoin(mean).withColumn("frequency", freq).select("node", "accesses", "frequency", state(F.col("frequency")).alias("state"))
+    kind = events.schema[item].dataType.simpleString()
+    slim = events.where(F.col(item).isNotNull() & F.col(ts).isNotNull()).select(F.col(item).alias("node"), F.unix_micros(F.col(ts).cast("timestamp")).alias("us"))
+    changed = slim.groupBy("node").applyInPandasWithState(step, f"node {kind}, accesses long, first_us long, last_us long", "n long, first long, last long", "update", "NoTimeout")
+    put = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(path)
+    return changed.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_totals(events: DataFrame, name: str):
-    """A streaming query that keeps :func:`totals` up to date in a memory table."""
-    return totals(events).writeStream.outputMode("complete").format("memory").queryName(name).start()
+def stream_latest(stored: DataFrame) -> DataFrame:
+    """The last state of each item from what :func:`stream_totals` appended."""
+    best = F.max_by(F.struct("accesses", "first_us", "last_us"), "batch").alias("x")
+    return stored.groupBy("node").agg(best).select("node", "x.accesses", F.timestamp_micros("x.first_us").alias("first_ts"), F.timestamp_micros("x.last_us").alias("last_ts"))
