@@ -46,7 +46,7 @@ def content_id(c: Column, prefix: str) -> Column:
 def normalised_answer(c: Column) -> Column:
     """Lower case without punctuation, articles and surplus blanks."""
     bare = F.regexp_replace(F.lower(c), r"[!-/:-@\[-`{-~]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?U)\b(a|an|the)\b", " "), r"\s+", " "))
 
 
 def length_score(c: Column) -> Column:

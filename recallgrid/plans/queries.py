@@ -452,7 +452,7 @@ def mean_recall(spark, d):
     return metrics.mean_recalls(_recalls(spark, d))
 
 
-_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+', ' ', 'g'), ' ')"
+_NORM = "array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower({0}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the')), ' ')"
 _ANSWERS = f"""WITH n AS (SELECT conv_id, turn, {_NORM.format('text')} AS t FROM conversations), m AS (SELECT *, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM n),
     p AS (SELECT a.conv_id, a.turn, a.t AS x, b.t AS y, a.w AS xw, b.w AS yw FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.turn IN (a.turn + 1, a.turn + 2)),
     o AS (SELECT conv_id, turn, x, y, xw, yw, coalesce(list_sum(list_transform(list_intersect(xw, yw), lambda t: least(len(list_filter(xw, lambda u: u = t)), len(list_filter(yw, lambda u: u = t))))), 0) AS same FROM p),
