@@ -16,7 +16,8 @@ form a class and are joined as one.
 3. A query is bounded by its overlap with the other group's union; only groups
    that reach ``t * size`` are opened, and there overlaps are counted exactly.
 
-Nothing is capped: every pair of at least the threshold is found and counted.  Pairs
+All sides of the joins grow with the documents, so none is broadcast, however few its
+rows are.  Nothing is capped: every pair of at least the threshold is found and counted.  Pairs
 are counted where they are found, and of each opened block only a spanning forest
 leaves the task, so the result has a row for each document, however many pairs
 there are.
@@ -334,9 +335,9 @@ def linked_classes(docs: DataFrame, p: JaccardParams, id_col: str, text_col: str
     one, two = (weight.select(F.col("grp").alias(f"g{i}"), F.col("n").alias(f"n{i}")) for i in (1, 2))
     # the members of the smaller group travel to the larger one
     larger = F.when(F.col("n1") > F.col("n2"), F.col("g1")).otherwise(F.col("g2"))
-    sent = pairs.join(one, "g1").join(two, "g2").select(larger.alias("target"), F.when(larger == F.col("g1"), F.col("g2")).otherwise(F.col("g1")).alias("grp"))
+    sent = pairs.join(one.hint("merge"), "g1").join(two.hint("merge"), "g2").select(larger.alias("target"), F.when(larger == F.col("g1"), F.col("g2")).otherwise(F.col("g1")).alias("grp"))
     sides = written(sent.unionByName(sent.select("target", F.col("target").alias("grp"))).distinct(), "cells")
-    total = sides.join(weight, "grp").agg(F.sum("bytes")).first()[0] or 0
+    total = sides.join(weight.hint("merge"), "grp").agg(F.sum("bytes")).first()[0] or 0
     parts = max(1, math.ceil(total / (p.cell_mb << 20)))
     t = p.threshold
 
@@ -351,7 +352,7 @@ def linked_classes(docs: DataFrame, p: JaccardParams, id_col: str, text_col: str
         summed = pd.DataFrame(links, columns=["a", "links"], dtype="int64").groupby("a", as_index=False).sum()
         return pd.concat([summed.assign(b=None), pd.DataFrame(edges, columns=["a", "b"], dtype="int64").assign(links=None)]).astype({"a": "int64", "b": "Int64", "links": "Int64"})
 
-    cells = sides.withColumn("cell", F.pmod(F.xxhash64("target"), F.lit(parts)).cast("int")).join(alive.select("grp", "cls", "size", "n", "tok"), "grp")
+    cells = sides.withColumn("cell", F.pmod(F.xxhash64("target"), F.lit(parts)).cast("int")).join(alive.select("grp", "cls", "size", "n", "tok").hint("merge"), "grp")
     found = written(cells.groupBy("cell").applyInPandas(verify, "a long, b long, links long"), "links")
     return known, found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links")), found.where("b is not null").select("a", "b")
 
@@ -361,15 +362,15 @@ def _judged(docs: DataFrame, p: JaccardParams, id_col: str, text_col: str) -> tu
     known, links, edges = linked_classes(docs, p, id_col, text_col)
     own = known.where("size > 0").groupBy("cls").agg(F.count("*").alias("n"), F.min(F.struct("doc", "th")).alias("least"))
     roots = components(edges).withColumnRenamed("node", "cls")
-    rooted = own.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = own.join(roots.hint("merge"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least_of = rooted.groupBy("root").agg(F.min("least").alias("keeper"))
-    return known, written(rooted.join(least_of, "root").join(links, "cls", "left").select("cls", "n", "keeper", F.coalesce("links", F.lit(0)).alias("links")), "classes")
+    return known, written(rooted.join(least_of.hint("merge"), "root").join(links.hint("merge"), "cls", "left").select("cls", "n", "keeper", F.coalesce("links", F.lit(0)).alias("links")), "classes")
 
 
 def jaccard_join(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ``class_id``, ``links``) of every row: the smallest id of all that it is connected to by links, and the number of other rows whose sets reach the threshold."""
     known, classes = _judged(docs, params, id_col, text_col)
-    linked = known.where("size > 0").join(classes, "cls").select(F.col("doc").alias(id_col), F.col("keeper.doc").alias("class_id"), (F.col("links") + F.col("n") - 1).alias("links"))
+    linked = known.where("size > 0").join(classes.hint("merge"), "cls").select(F.col("doc").alias(id_col), F.col("keeper.doc").alias("class_id"), (F.col("links") + F.col("n") - 1).alias("links"))
     no = F.lit(0).cast("long").alias("links")
     wordless = known.where("size = 0").select(F.col("doc").alias(id_col), F.col("doc").alias("class_id"), no)
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), no)
@@ -397,7 +398,7 @@ def deduplicate(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col
     known, classes = _judged(docs, params, id_col, text_col)
     rows = known.where("size > 0").groupBy("doc", "th", "cls").agg(F.count("*").alias("times"))
     stays = (F.col("doc") == F.col("keeper.doc")) & (F.col("th") == F.col("keeper.th"))
-    judged = written(rows.join(classes.where("n > 1 or links > 0"), "cls").select("doc", "th", "times", stays.alias("stays")).where("not stays or times > 1"), "dropped")
+    judged = written(rows.join(classes.where("n > 1 or links > 0").hint("merge"), "cls").select("doc", "th", "times", stays.alias("stays")).where("not stays or times > 1"), "dropped")
     gone = judged.where("not stays").select(F.col("doc").alias("__doc"), F.col("th").alias("__th"))
     out = docs.withColumn("__key", F.xxhash64(text_col))
     # what goes grows with the documents, so it is never broadcast, however few it is here
@@ -406,3 +407,18 @@ def deduplicate(docs: DataFrame, params: JaccardParams = JaccardParams(), id_col
         spaced = F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(*(F.col(c) for c, kind in docs.dtypes if c not in (id_col, text_col) and not kind.startswith("map")) or [F.lit(1)]))
         out = out.withColumn("__n", spaced).where(F.col("__n").eqNullSafe(1) | F.col(id_col).isNull() | ~F.coalesce(F.col(text_col).rlike(WORDS), F.lit(False)))
     return out.select(*docs.columns)
+
+
+def sql(params: JaccardParams = JaccardParams()) -> str:
+    """The same rows by brute force in DuckDB's SQL, for distinct ids that aren't null."""
+    n, t = params.n, params.threshold
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    return f"""
+    WITH RECURSIVE x AS MATERIALIZED (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w FROM documents),
+    g AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n} + 2), lambda i: {gram}) END) AS gram FROM x),
+    s AS MATERIALIZED (SELECT doc_id, count(*) AS size FROM g GROUP BY doc_id),
+    o AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+    p AS MATERIALIZED (SELECT a, b FROM o JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE common * {1 + t} >= {t} * (x.size + y.size) - 1e-6),
+    r AS (SELECT doc_id AS node, doc_id AS root FROM x UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.node),
+    c AS (SELECT node, min(root) AS class_id FROM r GROUP BY node), l AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+    SELECT node AS doc_id, class_id, coalesce(links, 0) AS links FROM c LEFT JOIN l ON l.a = c.node"""
