@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recallgrid.llm import bpe, jaccard, licenses, mixing, quality, secrets, sharding, topk, toxicity, urls
 
@@ -29,7 +30,8 @@ def op4_mixing(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
-    return quality.apply_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    judged = quality.apply_rules(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return judged.withColumn("rejected_by", F.array_join("rejected_by", ","))
 
 
 def op6_jaccard_join(spark, sf_dir):
@@ -53,4 +55,4 @@ def op10_sharding(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_secret_scan, op3_bpe, op4_mixing, op5_quality_rules, op6_jaccard_join, op7_toxicity, op8_license_scan, op9_topk_search, op10_sharding)}
-ORACLE_SQL = {"op8_license_scan": licenses.sql(), "op9_topk_search": topk.sql()}
+ORACLE_SQL = {"op5_quality_rules": quality.sql(), "op6_jaccard_join": jaccard.sql(), "op8_license_scan": licenses.sql(), "op9_topk_search": topk.sql()}
