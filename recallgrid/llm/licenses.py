@@ -189,13 +189,28 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = NOTICES, threshol
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def sql(templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The rows of single lines, without obligatory words, by brute force in DuckDB's SQL; with the sentences alone it has fewer rows than the scan with :data:`NOTICES`."""
-    values = ", ".join("('" + name.replace("'", "''") + "', ['" + "', '".join(sorted(word_set(t))) + f"'], {needed(len(word_set(t)), threshold)})" for name, t in templates.items() if word_set(t))
+def sql(templates: dict[str, str] = NOTICES, threshold: float = THRESHOLD, obligatory: dict[str, set[str]] = OBLIGATORY) -> str:
+    """The same rows in DuckDB's SQL, without any filter but the obligatory words, for distinct ids; every template must have one of those.
+
+    ``pt`` holds the words of a document that a template has, by word number; ``ln`` the lines that match alone, which
+    cut what is left into segments; ``en`` for each word of a segment the latest begin of a run that ends there and matches."""
+    index = TemplateIndex(templates, {}, threshold, obligatory)
+    quoted = lambda ws: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(ws)) + "]"
+    values = ", ".join(f"('{n}', {quoted(s)}, {quoted(m)}, {least}, {reach})" for n, s, m, least, reach in zip(index.names, index.sets, index.must, index.least, index.reach))
+    enough = "len(list_distinct(list({0}))) >= least AND len(list_intersect(list_distinct(list({0})), must)) = len(must)"
     return f"""
-    WITH templates(template, words, least) AS (VALUES {values}),
-    texts AS (SELECT doc_id, string_split(lower(text), chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
-    blocks AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no FROM texts),
-    sets AS (SELECT doc_id, line_no, list_distinct(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+')) AS have FROM blocks),
-    found AS (SELECT doc_id, line_no, template, len(list_intersect(have, words)) AS shared, len(words) AS size, least FROM sets CROSS JOIN templates)
-    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, template, CAST(shared AS INTEGER) AS shared_words, shared / size AS containment FROM found WHERE shared >= least"""
+    WITH RECURSIVE tp(template, words, must, least, reach) AS (VALUES {values}),
+    tx AS MATERIALIZED (SELECT doc_id, template, words, must, least, reach, string_split(lower(text), chr(10)) AS lines FROM documents JOIN tp ON list_bool_and(list_transform(must, lambda m: contains(lower(text), m))) WHERE text IS NOT NULL),
+    bl AS (SELECT * EXCLUDE (lines), unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS line_no FROM tx),
+    tk AS (SELECT * EXCLUDE (line), regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+') AS w FROM bl),
+    wd AS (SELECT * EXCLUDE (w), unnest(w) AS word, generate_subscripts(w, 1) AS i FROM tk),
+    nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id, template ORDER BY line_no, i) AS wn FROM wd),
+    pt AS MATERIALIZED (SELECT * EXCLUDE (words, i), row_number() OVER (PARTITION BY doc_id, template ORDER BY wn) AS k FROM nu WHERE list_contains(words, word)),
+    ln AS MATERIALIZED (SELECT doc_id, template, line_no, len(list_distinct(list(word))) AS shared FROM pt GROUP BY doc_id, template, line_no, must, least HAVING {enough.format('word')}),
+    sg AS MATERIALIZED (SELECT p.*, (SELECT count(*) FROM ln WHERE ln.doc_id = p.doc_id AND ln.template = p.template AND ln.line_no < p.line_no) AS seg FROM pt p WHERE NOT EXISTS (SELECT 1 FROM ln WHERE ln.doc_id = p.doc_id AND ln.template = p.template AND ln.line_no = p.line_no)),
+    rn AS (SELECT e.doc_id, e.template, e.seg, b.k AS a, e.k AS e FROM sg b JOIN sg e USING (doc_id, template, seg) JOIN sg m USING (doc_id, template, seg) WHERE b.k <= e.k AND e.wn - b.wn < e.reach AND m.k BETWEEN b.k AND e.k GROUP BY e.doc_id, e.template, e.seg, b.k, e.k, e.must, e.least HAVING {enough.format('m.word').replace('least', 'e.least').replace('must', 'e.must')}),
+    en AS MATERIALIZED (SELECT doc_id, template, seg, e, max(a) AS a FROM rn GROUP BY ALL),
+    gr AS (SELECT doc_id, template, seg, min(e) AS e FROM en GROUP BY ALL UNION ALL SELECT gr.doc_id, gr.template, gr.seg, (SELECT min(n.e) FROM en n WHERE n.doc_id = gr.doc_id AND n.template = gr.template AND n.seg = gr.seg AND n.a > gr.e) FROM gr WHERE gr.e IS NOT NULL),
+    st AS (SELECT en.* FROM gr JOIN en USING (doc_id, template, seg, e)),
+    ru AS (SELECT st.doc_id, st.template, b.line_no, len(list_distinct(list(m.word))) AS shared FROM st JOIN sg b ON b.doc_id = st.doc_id AND b.template = st.template AND b.k = st.a JOIN sg m ON m.doc_id = st.doc_id AND m.template = st.template AND m.seg = st.seg WHERE m.k >= st.a AND m.wn < b.wn + b.reach GROUP BY st.doc_id, st.template, st.e, b.line_no)
+    SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, template, CAST(shared AS INTEGER) AS shared_words, CAST(shared AS DOUBLE) / len(words) AS containment FROM (SELECT * FROM ln UNION ALL SELECT doc_id, template, line_no, shared FROM ru) JOIN tp USING (template)"""

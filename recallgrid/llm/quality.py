@@ -156,6 +156,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, params: QualityParams = Qual
 def sql(params: QualityParams = QualityParams()) -> str:
     """The same rows in DuckDB's SQL; ``rejected_by`` as text."""
     share = lambda p: f"round(len(regexp_extract_all(text, '{p}')) / solid, 6)"
+    symbol, digit = r"[^\p{L}\p{N}\s]", r"\p{N}"
     grid = ", ".join(f"('{r}', {i}, {c}, {s})" for r, (cs, s) in RULES.items() for i, c in enumerate(cs))
     rules = ", ".join(f"('{r}')" for r in RULES)
     hit = lambda r: f"coalesce({r} * {RULES[r][1]} > c_{r} * {RULES[r][1]}, false)"
@@ -164,7 +165,7 @@ def sql(params: QualityParams = QualityParams()) -> str:
     return rf"""
     WITH one AS (SELECT doc_id, lang AS stratum, text, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS t, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS lines FROM documents),
     m AS (SELECT *, CASE WHEN length(t) > 0 THEN length(t) - length(replace(t, ' ', '')) + 1 END AS n, CASE WHEN length(t) > 0 THEN length(replace(t, ' ', '')) END AS solid FROM one),
-    d AS MATERIALIZED (SELECT doc_id, stratum, {share('[^\p{L}\p{N}\s]')} AS symbol_ratio, {share('\p{N}')} AS digit_ratio, CASE WHEN n > 0 THEN round(1 - len(list_distinct(lines)) / greatest(len(lines), 1), 6) END AS repeated_lines, round(solid / n, 6) AS mean_word_length, CAST(n AS DOUBLE) AS words FROM m),
+    d AS MATERIALIZED (SELECT doc_id, stratum, {share(symbol)} AS symbol_ratio, {share(digit)} AS digit_ratio, CASE WHEN n > 0 THEN round(1 - len(list_distinct(lines)) / greatest(len(lines), 1), 6) END AS repeated_lines, round(solid / n, 6) AS mean_word_length, CAST(n AS DOUBLE) AS words FROM m),
     grid(rule, i, c, s) AS (VALUES {grid}), grade AS (SELECT unnest({GRADES}) AS q, unnest(range({len(GRADES)})) AS g),
     un AS (SELECT * FROM d WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)), size AS (SELECT stratum, count(*) AS total FROM un GROUP BY stratum),
     long AS (UNPIVOT (SELECT stratum, {', '.join(RULES)} FROM un) ON {', '.join(RULES)} INTO NAME rule VALUE x),
