@@ -29,15 +29,18 @@ def empty(spark):
 
 def test_jaccard_join_equals_brute_force(docs, empty):
     memo, p = WordHashes(), jaccard.JaccardParams()
-    sets = {i: set(s.tolist()) for i, s in enumerate(jaccard.token_sets(TEXTS, p.n, memo)) if len(s)}
-    want = {(a, b) for a, b in itertools.combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= p.threshold}
-    found = [tuple(r["doc_ids"]) for r in jaccard.jaccard_join(docs).collect()]
-    parent = {i: i for i in sets}
-    for ids in found:
-        for x in ids:
-            parent[x] = min(parent[x], parent[ids[0]])
-    assert (3, 4) in found and (3, 5) in found and {9, 10} <= set(next(f for f in found if 9 in f))
-    assert all(parent[a] == parent[b] for a, b in want)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] is not None]
+    sets = [set(s.tolist()) for s in jaccard.token_sets([t for _, t in rows], p.n, memo)]
+    near = lambda a, b: bool(sets[a] and sets[b]) and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= p.threshold
+    links = [sum(near(i, j) for j in range(len(rows)) if j != i) for i in range(len(rows))]
+    of = list(range(len(rows)))
+    for _ in rows:
+        of = [min(of[j] for j in range(len(rows)) if j == i or near(i, j)) for i in range(len(rows))]
+    want = sorted((rows[i][0], min(rows[j][0] for j in range(len(rows)) if of[j] == of[i]), links[i]) for i in range(len(rows)))
+    clashing = docs.withColumnsRenamed({"slot": "class_id", "shard": "links"})
+    for df in (docs, clashing):
+        got = [tuple(r) for r in jaccard.jaccard_join(df).collect()]
+        assert (None, None, 0) in got and sorted(x for x in got if x[0] is not None) == want
     assert jaccard.jaccard_join(empty).count() == 0
     kept = jaccard.deduplicate(docs)
     assert kept.columns == docs.columns
