@@ -13,6 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TRIPLES = "array<array<string>>"
 
@@ -89,7 +90,7 @@ def repaired_json(text: str | None) -> str | None:
     return text + "".join(reversed(still_open))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair_json(texts: pd.Series) -> pd.Series:
     return texts.map(repaired_json, na_action="ignore")
 
