@@ -50,9 +50,9 @@ def normalised_answer(c: Column) -> Column:
 
 
 def length_score(c: Column) -> Column:
-    """1 at 350 characters; less below in proportion, down to 0.5 above."""
+    """1 at 350 characters; less below in proportion, down to 0.5 above; 0 for null."""
     n = F.length(c)
-    return F.when(n == 0, 0.0).when(n <= 350, n / 350.0).otherwise(F.greatest(F.lit(0.5), 1 - 0.5 * (n - 350) / 650.0))
+    return F.when(n.isNull() | (n == 0), 0.0).when(n <= 350, n / 350.0).otherwise(F.greatest(F.lit(0.5), 1 - 0.5 * (n - 350) / 650.0))
 
 
 def entity_count(c: Column) -> Column:
@@ -81,7 +81,7 @@ def with_density(df: DataFrame, text_col: str = "text") -> DataFrame:
     staged = staged.withColumn("richness", rich).drop("__words", "__stop")
     part = lambda name, by: F.least(F.lit(1.0), F.log1p(F.col(name)) / by)
     total = 0.3 * part("entities", 3.0) + 0.3 * part("facts", 2.5) + 0.2 * F.col("length_score") + 0.2 * F.col("richness")
-    return staged.withColumn("density", F.coalesce(total, F.lit(0.0)))
+    return staged.withColumn("density", F.when(c.isNull(), 0.0).otherwise(total))
 
 
 def density_band(c: Column, low: float = 0.3, high: float = 0.7) -> Column:
