@@ -10,6 +10,7 @@ from recallgrid import adapters, prompts
 from recallgrid.engine import Engine
 from recallgrid.functions import scores, text
 from recallgrid.operators import fusion, graph, metrics, openie, passages, ranking, store, vectors
+from recallgrid.plans.queries import QUERIES
 from recallgrid.sources import tables
 from recallgrid.streaming import memory
 
@@ -104,6 +105,29 @@ def test_graph_search_falls_back(spark):
     assert got[2, "c3"]["rank"] == 1 and got[1, "c1"]["rank"] == 1
 
 
+def test_graph_search_by_vectors_equals_that_by_rows(spark, tmp_path):
+    r = np.random.default_rng(5)
+    at = lambda n: r.integers(0, n, 30).tolist()
+    rows_ = [(f"k{i}", f"a{a}" if i else None, "p", f"a{b}", i % 12) for i, (a, b) in enumerate(zip(at(9), at(9)))]
+    facts = spark.createDataFrame(rows_, "chunk string, s string, p string, o string, vec_id long")
+    keys = spark.createDataFrame([(i, r.normal(size=4).tolist()) for i in range(11)], "vec_id long, embedding array<double>")  # a vector is missing
+    passages = facts.select(F.col("chunk").alias("id"), "vec_id", (F.col("vec_id") / 20).alias("density")).where("id <> 'k7'").unionByName(spark.createDataFrame([("alone", 3, None)], "id string, vec_id long, density double"))
+    edges = graph.graph_edges(facts)
+    got, rest = (rows(graph.graph_search_by_vectors(facts, passages, edges, keys, keys.where("vec_id < 7"), 3, 8, search_edges=n).withColumn("score", F.round("score", 8))) for n in (10**6, 0))
+    assert got == rest and len(got) == 7 * passages.where("vec_id <> 11").count()
+    assert graph.graph_search_by_vectors(facts.limit(0), passages.limit(0), edges.limit(0), keys, keys).count() == 0
+
+
+def test_graph_search_writes_no_row_a_query_and_passage(spark, monkeypatch):
+    made = []
+    put = lambda df, name: made.append(df) or put_(df, name)
+    put_ = tables.written
+    for m in (graph, tables):
+        monkeypatch.setattr(m, "written", put)
+    found = QUERIES["graph_search"](spark, "/root/testdata/sf0.001").count()
+    assert found == 1850 and max(df.count() for df in made) < found
+
+
 def test_fusion_of_the_worked_lists(spark):
     make = lambda ids, s: spark.createDataFrame([(1, f"doc{i}", x) for i, x in zip(ids, s)], "query_id int, id string, score double")
     a, b = make([1, 2, 3, 4, 5], [0.95, 0.85, 0.75, 0.65, 0.55]), make([3, 1, 6, 7, 8], [0.8, 0.7, 0.6, 0.5, 0.4])
