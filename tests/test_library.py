@@ -211,6 +211,14 @@ def test_vectors_of_odd_shape(spark):
     assert rows(vectors.mean_pooled(tokens, "id")) == [(1, 0, 3.0)]
 
 
+def test_answer_scores_have_no_text_as_key(spark):
+    a = spark.createDataFrame([(1, "b a b", "b b c"), (None, "x", "x")], "q int, predicted string, gold string")
+    scored = metrics.answer_scores(a, "q")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate [") == 1
+    assert rows(scored.withColumn("f1", F.round("f1", 4))) == [(1, 0.0, 0.8), (None, 1.0, 1.0)]
+
+
 def test_metrics(spark):
     a = spark.createDataFrame([(1, "the County", "Rockland county"), (1, "the County", "county!"), (2, "x", "y"), (3, None, "z"), (4, "a b b", "b b c"), (5, "", "")], "q int, predicted string, gold string")
     got = {r["q"]: (r["em"], round(r["f1"], 4)) for r in metrics.answer_scores(a, "q").collect()}
