@@ -7,15 +7,26 @@ empty log has no items.
 
 from __future__ import annotations
 
+import heapq
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from recallgrid.functions.text import summary
 
+#: What separates words in Spark's patterns.
+_BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
+
 
 @dataclass(frozen=True)
 class MemoryParams:
@@ -94,16 +105,67 @@ def search(nodes: DataFrame, queries: DataFrame, k: int = 10, include_forgotten:
     caller) for queries (query_id, query): the weight, doubled where the content holds the query, else times 1 and the share of its
     words that it holds; half as much again where the tag holds the query.  A stated set of queries against all nodes."""
     usable = nodes if include_forgotten else nodes.where("state <> 'forgotten'")
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda x: x != ""))
-    q = queries.where("query is not null").select("query_id", F.lower("query").alias("__q"), words(F.col("query")).alias("__qw"))
-    x = usable.select("node", "weight", F.lower(F.coalesce("content", F.lit(""))).alias("__c"), words(F.coalesce("content", F.lit(""))).alias("__cw"), (F.lower("tag") if "tag" in usable.columns else F.lit(None).cast("string")).alias("__t"))
-    n = F.size(F.array_intersect("__qw", "__cw"))
-    score = F.col("weight") * F.when(F.contains("__c", "__q"), 2.0).otherwise(1.0 + n / F.greatest(F.size("__qw"), F.lit(1))) * F.when(F.contains("__t", "__q"), 1.5).otherwise(1.0)
-    each = x.crossJoin(q).select("query_id", "node", F.round(score, 6).alias("score"))
+    q = queries.where("query is not null").select("query_id", F.lower("query").alias("q"))
+    asked = q.collect()  # the stated set
+    texts = [r["q"] for r in asked]
+    words = [list(dict.fromkeys(w for w in _BLANKS.split(x) if w)) for x in texts]
+    inner = [len({w for w in _BLANKS.split(x)[1:-1] if w}) for x in texts]  # a text that holds the query has these as words
+    holders: dict[str, list[int]] = {}
+    for i, own in enumerate(words):
+        for w in own:
+            holders.setdefault(w, []).append(i)
+    shared = nodes.sparkSession.sparkContext.broadcast((texts, {w: np.array(i) for w, i in holders.items()}, np.array([max(len(w), 1) for w in words], float), np.array(inner)))
+    tag = F.lower("tag") if "tag" in usable.columns else F.lit(None).cast("string")
+    x = usable.select("node", F.col("weight").cast("double").alias("weight"), F.lower(F.coalesce("content", F.lit(""))).alias("c"), tag.alias("t"))
+
+    def run(batches):
+        texts, holders, sizes, inner = shared.value
+        tags: dict = {}
+        kept = [[] for _ in texts]
+        for b in batches:
+            for at in range(0, b.num_rows if texts else 0, 1_000):
+                node, weight, content, tag = (c.to_pylist() for c in b.slice(at, 1_000).columns)
+                score = np.empty((len(node), len(texts)))
+                for i, (w, c, t) in enumerate(zip(weight, content, tag)):
+                    n = np.zeros(len(texts))
+                    for word in set(_BLANKS.split(c)) & holders.keys():
+                        n[holders[word]] += 1
+                    factor = 1.0 + n / sizes
+                    for j in np.flatnonzero(n >= inner).tolist():
+                        if texts[j] in c:
+                            factor[j] = 2.0
+                    if t not in tags:
+                        tags[t] = np.array([1.5 if t is not None and x in t else 1.0 for x in texts])
+                    score[i] = (np.nan if w is None else w) * factor * tags[t]
+                score = _half_up(score)
+                for j in range(len(texts)):
+                    own = score[:, j]
+                    bar = kept[j][k - 1][0] if len(kept[j]) >= k else np.inf  # the negative score of the last that is kept
+                    some = np.flatnonzero((-own <= bar) | np.isnan(own)).tolist()
+                    if some:
+                        kept[j] = heapq.nsmallest(k, kept[j] + [(np.inf if math.isnan(own[i]) else -own[i], node[i]) for i in some])
+        rows = [(j, node, None if s == np.inf else -s) for j, own in enumerate(kept) for s, node in own]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], kind), pa.array([r[2] for r in rows], pa.float64())], names=["at", "node", "score"])
+
+    kind = to_arrow_type(x.schema["node"].dataType)
+    found = x.mapInArrow(run, f"at int, node {x.schema['node'].dataType.simpleString()}, score double")  # k rows a query and task
+    names = nodes.sparkSession.createDataFrame([(i, r["query_id"]) for i, r in enumerate(asked)], StructType([StructField("at", IntegerType()), q.schema["query_id"]]))
+    each = found.join(F.broadcast(names), "at").select("query_id", "node", "score")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "node"))
     return each.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "node", "score")
 
 
+def _half_up(x: np.ndarray) -> np.ndarray:
+    """Rounded to 6 digits as Spark does: half up by the decimal digits of the number."""
+    y = x * 1e6
+    out = np.floor(y + 0.5) / 1e6
+    with np.errstate(invalid="ignore"):
+        close = np.abs(y - np.floor(y) - 0.5) < 1e-6 + np.abs(y) * 1e-15
+    for at in zip(*np.nonzero(close)):
+        out[at] = float(Decimal(repr(float(x[at]))).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    return out
+
+
 def with_summary(nodes: DataFrame) -> DataFrame:
     """``nodes`` with ``compressed_content`` where the state is compressed."""
     return nodes.withColumn("compressed_content", F.when(F.col("state") == "compressed", summary(F.col("content"))))

@@ -219,6 +219,14 @@ def test_answer_scores_have_no_text_as_key(spark):
     assert rows(scored.withColumn("f1", F.round("f1", 4))) == [(1, 0.0, 0.8), (None, 1.0, 1.0)]
 
 
+def test_memory_search_hands_on_k_rows_a_query(spark):
+    nodes = spark.createDataFrame([(i, "x a b y" if i % 7 == 0 else "xa by" if i % 5 == 0 else "b\u00a0a", None if i == 3 else 1.0 + i % 3 / 10, "active", "a b") for i in range(60)], "node int, content string, weight double, state string, tag string").repartition(2)
+    q = spark.createDataFrame([(1, "a b"), (2, "x a b y"), (3, None)], "query_id int, query string")
+    found = memory.search(nodes, q, 4)
+    assert [(r["query_id"], r["node"], r["score"]) for r in found.orderBy("query_id", "rank").collect()] == [(1, 5, 3.6), (1, 14, 3.6), (1, 20, 3.6), (1, 35, 3.6), (2, 14, 2.4), (2, 35, 2.4), (2, 56, 2.4), (2, 7, 2.2)]
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+
+
 def test_metrics(spark):
     a = spark.createDataFrame([(1, "the County", "Rockland county"), (1, "the County", "county!"), (2, "x", "y"), (3, None, "z"), (4, "a b b", "b b c"), (5, "", "")], "q int, predicted string, gold string")
     got = {r["q"]: (r["em"], round(r["f1"], 4)) for r in metrics.answer_scores(a, "q").collect()}
