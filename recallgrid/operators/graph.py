@@ -21,8 +21,12 @@ from recallgrid.functions import scores
 from recallgrid.operators import ranking, vectors
 from recallgrid.sources.tables import written
 
-#: Up to so many edges are sent to every worker as arrays (20 bytes each); beyond, ranks and edges are joined.
+#: Up to so many edges, both ways, are sent to every worker as arrays (20 bytes each); beyond, they stay in blocks.
 BROADCAST_EDGES = 2_000_000
+#: Edges of a block on average (16 bytes each, and 12 a target); a node's edges are all in one.
+BLOCK_EDGES = 1 << 18
+#: What the largest block sends in a step, in bytes; more queries take further rounds.
+ROUND_BYTES = 1 << 27
 #: The same for the search by vectors, whose nodes are numbers (12 bytes an edge).
 SEARCH_EDGES = 20_000_000
 #: Edges that one step of a walk takes up at once.
@@ -99,10 +103,15 @@ def graph_info(facts: DataFrame, synonyms: DataFrame | None = None) -> DataFrame
     return one.withColumn("total_nodes", F.col("phrase_nodes") + F.col("passage_nodes")).withColumn("synonym_triples", F.col("total_triples") - F.col("extracted_triples") - F.col("passage_triples"))
 
 
+def usable(edges: DataFrame) -> DataFrame:
+    """The edges (src, dst, weight) with two ends and a positive weight."""
+    return edges.where("weight > 0 and src is not null and dst is not null").select("src", "dst", "weight")
+
+
 def transitions(edges: DataFrame) -> DataFrame:
     """(``src``, ``dst``, ``p``) of the undirected graph: parallel edges add up, whichever way; weights that are null or not positive are left out."""
-    good = edges.where("weight > 0 and src is not null and dst is not null")
-    both = good.select("src", "dst", "weight").unionByName(good.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    good = usable(edges)
+    both = good.unionByName(good.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     w = both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     total = w.groupBy("src").agg(F.sum("weight").alias("total"))
     return w.join(total, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("p"))
@@ -113,19 +122,23 @@ def steps_for(tolerance: float, damping: float) -> int:
     return max(1, math.ceil(math.log(tolerance) / math.log(damping)))
 
 
-def ppr(edges: DataFrame, reset: DataFrame, damping: float = 0.5, tolerance: float = 1e-6, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
+def ppr(edges: DataFrame, reset: DataFrame, damping: float = 0.5, tolerance: float = 1e-6, broadcast_edges: int = BROADCAST_EDGES, block_edges: int = BLOCK_EDGES, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """(``query_id``, ``node``, ``score``) of all queries at once over the undirected weighted graph; scores of a query sum to 1.
 
     ``reset``: (query_id, node, r).  Null, NaN and negative weights count as 0, repeated nodes add up, and each query's
     weights are scaled to sum to 1; a query without any weight has no rows.  What nodes without edges hold goes back to the reset.  Nodes of score 0 have no row."""
-    p = written(transitions(edges), "steps")
+    e = written(usable(edges), "edges")
     guarded = reset.where("node is not null").select("query_id", "node", scores.guarded(F.col("r").cast("double")).alias("r")).where("r > 0").groupBy("query_id", "node").agg(F.sum("r").alias("r"))
     total = guarded.groupBy("query_id").agg(F.sum("r").alias("__all"))
     r = written(guarded.join(total, "query_id").select("query_id", "node", (F.col("r") / F.col("__all")).alias("r")), "reset")
-    n = steps_for(tolerance, damping)
-    found = _ppr_arrays(p, r, damping, n) if p.count() <= broadcast_edges else _ppr_joins(p, r, damping, n)
+    n, both = steps_for(tolerance, damping), 2 * e.count()
+    if both <= broadcast_edges:
+        p = written(transitions(e), "steps")
+        found, names = _ppr_arrays(p, r, damping, n), p.select(F.col("src").alias("node")).distinct()
+    else:
+        found, names = _ppr_blocks(e, r, damping, n, -(-both // block_edges), round_bytes)
     # a reset node without edges returns its mass, of which it gets its share again, and so on
-    lonely = r.join(p.select(F.col("src").alias("node")).distinct(), "node", "left_anti").groupBy("query_id").agg(F.sum("r").alias("__lonely"))
+    lonely = r.join(names.select("node"), "node", "left_anti").groupBy("query_id").agg(F.sum("r").alias("__lonely"))
     scale = 1 / (1 - damping * F.coalesce("__lonely", F.lit(0.0)))
     return found.join(lonely, "query_id", "left").select("query_id", "node", (F.col("score") * scale).alias("score"))
 
@@ -156,18 +169,111 @@ def _ppr_arrays(p: DataFrame, r: DataFrame, damping: float, n: int) -> DataFrame
     return r.groupBy("query_id").applyInPandas(run, f"query_id {kind}, node {node}, score double")
 
 
-def _ppr_joins(p: DataFrame, r: DataFrame, damping: float, n: int) -> DataFrame:
-    """A join and an aggregate a step; the edges are partitioned and kept once, lineage is cut every five steps."""
-    steps = p.repartition("src").persist()
-    start = r.select("query_id", "node", (F.col("r") * (1 - damping)).alias("score"))
-    x = r.select("query_id", "node", F.col("r").alias("score"))
-    for i in range(1, n + 1):
-        moved = x.join(steps, x["node"] == steps["src"]).select("query_id", F.col("dst").alias("node"), (F.col("score") * F.col("p") * damping).alias("score"))
-        x = moved.unionByName(start).groupBy("query_id", "node").agg(F.sum("score").alias("score"))
-        if i % 5 == 0 or i == n:
-            x = written(x, "ranks")
-    steps.unpersist()
-    return x
+def _ppr_blocks(e: DataFrame, r: DataFrame, damping: float, n: int, blocks: int, round_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The ranks, and the nodes with edges (node).
+
+    Nodes are numbered within ``blocks``, each of which keeps the edges of its nodes as arrays; a step sends what nodes pass
+    on to the blocks of their targets, a row of arrays for each two blocks and query, and is one exchange without a join of
+    rows.  So many queries walk at once as ``round_bytes`` allows.  Neither ranks nor edges go to the driver."""
+    spark = e.sparkSession
+    ends = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node")))
+    names = written(ends.distinct().repartition(blocks, "node").select("node", F.monotonically_increasing_id().alias("at")), "nodes")  # block and place in it
+    low = (1 << 33) - 1
+    # numbers that the exchange deals out one to each partition
+    ids = spark.range(64 * blocks).select(F.col("id").cast("int").alias("id"))
+    dealt = dict(map(tuple, ids.groupBy(F.pmod(F.hash("id"), F.lit(blocks))).agg(F.min("id")).collect()))
+    keys = [dealt.get(b, -1 - b) for b in range(blocks)]
+    block = F.shiftright("at", 33).cast("int").alias("block")
+    size = {keys[b]: k for b, k in map(tuple, names.groupBy(block).count().collect())}  # a row a block
+    coded = names.withColumn("block", block).join(F.broadcast(spark.createDataFrame(list(enumerate(keys)), "block int, key int")), "block").select("node", "at", "key")
+
+    ends = (coded.select(F.col("node").alias(c), F.col("at").alias(f"__{c}"), F.col("key").alias(f"__key_{c}")) for c in ("src", "dst"))
+    both = e.join(next(ends), "src").join(next(ends), "dst")
+    way = lambda a, b: F.struct(F.col(f"__key_{a}").alias("key"), F.col(f"__{a}").alias("src"), F.col(f"__{b}").alias("dst"))
+    ways = F.when(F.col("__src") == F.col("__dst"), F.array(way("src", "dst"))).otherwise(F.array(way("src", "dst"), way("dst", "src")))
+    w = both.select(F.explode(ways).alias("e"), "weight").select("e.*", "weight").repartition(blocks, "key").groupBy("key", "src", "dst").agg(F.sum("weight").cast("double").alias("weight"))
+    # rows of arrays: q is the query or, below 0, minus the number of edges
+    schema = "key int, q int, a binary, b binary, c binary, d binary"
+    rows_of = pa.schema([("key", pa.int32()), ("q", pa.int32()), *((c, pa.binary()) for c in "abcd")])
+
+    def table(rows: list[tuple], kept: pa.Schema) -> pa.Table:
+        return pa.Table.from_arrays([pa.array([x[i] for x in rows], f.type) for i, f in enumerate(kept)], schema=kept)
+
+    def edges_of(key: tuple, rows: pa.Table) -> pa.Table:
+        """The edges of a block by target, in slabs: sources, weights, where each target begins, targets."""
+        src, dst, weight = (rows.column(c).to_numpy() for c in ("src", "dst", "weight"))
+        src = src & low
+        p = weight / np.bincount(src, weight)[src]
+        order = np.argsort(dst, kind="stable")
+        src, dst, p = src[order].astype(np.int32), dst[order], p[order]
+        found = []
+        for at in range(0, len(src), SLAB_EDGES):
+            own = dst[at : at + SLAB_EDGES]
+            begin = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            found.append((key[0].as_py(), -len(own), src[at : at + SLAB_EDGES].tobytes(), p[at : at + SLAB_EDGES].tobytes(), begin.tobytes(), own[begin].tobytes()))
+        return table(found, rows_of)
+
+    def reset_of(key: tuple, rows: pa.Table) -> pa.Table:
+        q, at, share = (rows.column(c).to_numpy() for c in ("q", "at", "r"))
+        order = np.argsort(q, kind="stable")
+        q, at, share = q[order], (at[order] & low).astype(np.int32), share[order]
+        cut = np.flatnonzero(np.r_[True, q[1:] != q[:-1], True])
+        return table([(key[0].as_py(), int(q[i]), at[i:j].tobytes(), share[i:j].tobytes(), None, None) for i, j in zip(cut[:-1], cut[1:])], rows_of)
+
+    def ranks(key: int, held: pa.Table, moved: pa.Table | None):
+        """(query, ranks of the block's nodes); without ``moved`` those of the reset."""
+        parts: dict = {}
+        for t, of in ((held, 1 - damping if moved is not None else 1.0), (moved, damping)):
+            if t is not None and t.num_rows:
+                for q, at, x in zip(*(t.column(c).to_pylist() for c in ("q", "a", "b"))):
+                    if q >= 0:
+                        parts.setdefault(q, []).append((at, x, of))
+        for q, own in parts.items():
+            y = np.zeros(size[key])
+            for at, x, of in own:
+                y[np.frombuffer(at, np.int32)] += of * np.frombuffer(x)
+            yield q, y
+
+    def sent(key: tuple, held: pa.Table, moved: pa.Table | None = None) -> pa.Table:
+        rows = zip(*(held.column(c).to_pylist() for c in ("q", *"abcd")))
+        slabs = [tuple(np.frombuffer(x, kind) for x, kind in zip(row[1:], (np.int32, float, np.int64, np.int64))) for row in rows if row[0] < 0]
+        found = []
+        for q, y in ranks(key[0].as_py(), held, moved):
+            for src, p, begin, to in slabs:
+                v = np.add.reduceat(y[src] * p, begin)
+                some = np.flatnonzero(v)
+                if not len(some):
+                    continue
+                v, to = v[some], to[some]
+                place, at = to >> 33, (to & low).astype(np.int32)
+                cut = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True])
+                found += [(keys[place[i]], q, at[i:j].tobytes(), v[i:j].tobytes()) for i, j in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        return table(found, pa.schema(list(rows_of)[:4]))
+
+    def last(key: tuple, held: pa.Table, moved: pa.Table) -> pa.Table:
+        first, found = keys.index(key[0].as_py()) << 33, []
+        for q, y in ranks(key[0].as_py(), held, moved):
+            some = np.flatnonzero(y > 0)
+            found.append(pa.table({"q": pa.array(np.full(len(some), q, np.int32)), "at": pa.array(some + first), "score": pa.array(y[some])}))
+        return pa.concat_tables(found) if found else table([], pa.schema([("q", pa.int32()), ("at", pa.int64()), ("score", pa.float64())]))
+
+    blocked = written(w.groupBy("key").applyInArrow(edges_of, schema), "blocks")
+    asked = written(ranking.numbered(r.select("query_id").distinct(), ["query_id"], "q").select("query_id", F.col("q").cast("int").alias("q")), "asked")
+    start = written(r.join(asked, "query_id").join(coded, "node", "left").select("query_id", "q", "node", "at", "key", "r"), "start")
+    alone = start.where("key is null").select("query_id", "node", (F.col("r") * (1 - damping)).alias("score"))
+    found = alone
+    largest = -blocked.groupBy("key").agg(F.sum("q").alias("q")).agg(F.min("q")).first()[0]
+    width = max(1, round_bytes // (12 * largest))
+    for at in range(0, asked.count(), width):
+        own = start.where(F.col("key").isNotNull() & F.col("q").between(at, at + width - 1)).select("key", "q", "at", "r")
+        held = blocked.unionByName(own.groupBy("key").applyInArrow(reset_of, schema)).repartition(blocks, "key").persist()
+        x = held.groupBy("key").applyInArrow(lambda key, held: sent(key, held), "key int, q int, a binary, b binary")
+        for _ in range(n - 1):
+            x = held.groupBy("key").cogroup(x.groupBy("key")).applyInArrow(sent, "key int, q int, a binary, b binary")
+        x = written(held.groupBy("key").cogroup(x.groupBy("key")).applyInArrow(last, "q int, at long, score double"), "ranks")
+        held.unpersist()
+        found = found.unionByName(x.join(names, "at").join(asked, "q").select("query_id", "node", "score"))
+    return found, names
 
 
 def phrase_weights(selected: DataFrame, mentioned: DataFrame, most: int = 5) -> DataFrame:

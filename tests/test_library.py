@@ -95,6 +95,53 @@ def test_graph_and_ppr(spark):
     assert graph.graph_info(facts.limit(0)).first()["total_triples"] == 0
 
 
+def test_ppr_in_blocks_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    ends = [(f"n{a}", f"n{b}", float(w)) for a, b, w in zip(rng.integers(0, 40, 90), rng.integers(0, 50, 90), rng.integers(1, 4, 90))]
+    ends += [("hub", f"n{i}", 1.0) for i in range(30)] + [("n0", "n0", 2.0), ("far", "away", 1.0)]
+    asked = [(q, n, float(w)) for q, n, w in (("a", "n0", 1), ("a", "hub", 2), ("b", "far", 1), ("c", "n7", 1), ("c", "none", 3), ("d", "nowhere", 1), (None, "n1", 1))]
+    names = sorted({n for a, b, _ in ends for n in (a, b)})
+    m = np.zeros((len(names), len(names)))
+    for a, b, w in ends:
+        i, j = names.index(a), names.index(b)
+        m[i, j] += w
+        m[j, i] += w * (i != j)
+    m /= m.sum(1, keepdims=True)
+    want = {}
+    for q in "abcd":
+        r = {n: w / sum(w for p, _, w in asked if p == q) for p, n, w in asked if p == q}
+        start = np.array([r.get(n, 0.0) for n in names])
+        x = start
+        for _ in range(graph.steps_for(1e-2, 0.5)):
+            x = 0.5 * start + 0.5 * x @ m
+        lone = {n: w for n, w in r.items() if n not in names}
+        scale = 1 / (1 - 0.5 * sum(lone.values()))
+        want |= {(q, n): v * scale for n, v in zip(names, x) if v > 0} | {(q, n): w * 0.5 * scale for n, w in lone.items()}
+    edges, reset = spark.createDataFrame(ends, "src string, dst string, weight double"), spark.createDataFrame(asked, "query_id string, node string, r double")
+    for block, round_bytes in ((40, 12 * 40 * 2), (10**6, graph.ROUND_BYTES)):  # several blocks and rounds, and one of each
+        got = graph.ppr(edges, reset, tolerance=1e-2, broadcast_edges=0, block_edges=block, round_bytes=round_bytes).collect()
+        found = {(r["query_id"], r["node"]): r["score"] for r in got}
+        assert len(got) == len(found) and found.keys() == want.keys()
+        assert np.allclose([found[k] for k in want], list(want.values()), rtol=1e-12, atol=1e-15)
+
+
+def _exchanged(spark, after: int = -1) -> tuple[int, int]:
+    """Rows that stages beyond a number have written to exchanges, and the last number."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return sum(x.shuffleWriteRecords() for x in stages if x.stageId() > after), max((x.stageId() for x in stages), default=-1)
+
+
+def test_ppr_steps_exchange_no_row_a_node(spark):
+    edges = spark.range(5000).select(F.concat(F.lit("n"), (F.col("id") % 25).cast("string")).alias("src"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("dst"), F.lit(1.0).alias("weight"))
+    reset = spark.createDataFrame([(0, f"n{i}", 1.0) for i in range(25)], "query_id int, node string, r double")
+    _, before = _exchanged(spark)
+    assert graph.ppr(edges, reset, broadcast_edges=0).count() == 5025
+    assert _exchanged(spark, before)[0] < 20 * 5025  # 20 steps; a row a node and step would be more
+
+
 def test_graph_search_falls_back(spark):
     facts = spark.createDataFrame([("c1", "a", "p", "b"), ("c2", "b", "p", "c"), ("c3", "d", "p", "e")], "chunk string, s string, p string, o string")
     scored = spark.createDataFrame([(1, "a", "p", "b", 0.9), (1, "b", "p", "c", 0.8), (1, "d", "p", "e", 0.7)], "query_id int, s string, p string, o string, score double")
