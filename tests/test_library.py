@@ -2,6 +2,7 @@
 
 import json
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from recallgrid import adapters, prompts
 from recallgrid.engine import Engine
 from recallgrid.functions import scores, text
 from recallgrid.operators import fusion, graph, metrics, openie, passages, ranking, store, vectors
-from recallgrid.plans.queries import QUERIES
+from recallgrid.plans.queries import QUERIES, SQL
 from recallgrid.sources import tables
 from recallgrid.streaming import memory
 
@@ -142,6 +143,18 @@ def test_ppr_steps_exchange_no_row_a_node(spark):
     assert _exchanged(spark, before)[0] < 20 * 5025  # 20 steps; a row a node and step would be more
 
 
+def test_ppr_20_in_blocks_equals_sql(spark, monkeypatch):
+    folder, ppr = "/root/testdata/sf0.01", graph.ppr
+    monkeypatch.setattr(graph, "ppr", lambda edges, reset: ppr(edges, reset, broadcast_edges=0, block_edges=2500))
+    _, before = _exchanged(spark)
+    got = {r["node"]: r["score"] for r in QUERIES["ppr_20"](spark, folder).collect()}
+    assert _exchanged(spark, before)[0] < 20 * len(got)  # 20 steps; a row a node and step would be more
+    db = duckdb.connect()
+    for t in ("customer", "supplier", "nation", "region"):
+        db.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    assert got == dict(db.execute(SQL["ppr_20"]).fetchall()) and len(got) == 3255
+
+
 def test_graph_search_falls_back(spark):
     facts = spark.createDataFrame([("c1", "a", "p", "b"), ("c2", "b", "p", "c"), ("c3", "d", "p", "e")], "chunk string, s string, p string, o string")
     scored = spark.createDataFrame([(1, "a", "p", "b", 0.9), (1, "b", "p", "c", 0.8), (1, "d", "p", "e", 0.7)], "query_id int, s string, p string, o string, score double")
